@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from sightline.functions.text import letters_key, to_ms
 from sightline.llm.bpe import encode_texts
+from sightline.llm.leaks import find_leaks, removal_spans
 from sightline.llm.runs import collapse_runs
 from sightline.llm.splits import deal, linked_sets, path_keys, split_key, torn_sets
+from sightline.llm.subjects import classify, train
 from sightline.sources.tables import table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -82,8 +84,38 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text", f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that repeat at least half of an evaluation item's words in passages."""
+    return _leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The merged word spans to remove from each document that repeats an item."""
+    return removal_spans(_leaks(spark, sf_dir), "doc_id")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subject areas of each document."""
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs, "doc_id", "text", table(spark, sf_dir, "doc_labels"), table(spark, sf_dir, "subjects"))
+    return classify(docs, "doc_id", "text", model).select("doc_id", "subject")
+
+
 def queries() -> dict:
-    return {"p4_found": p4_found, "p4_near": p4_near, "p5_found": p5_found, "p5_splits": p5_splits, "p6_ids": p6_ids}
+    return {
+        "p4_found": p4_found,
+        "p4_near": p4_near,
+        "p5_found": p5_found,
+        "p5_splits": p5_splits,
+        "p6_ids": p6_ids,
+        "p7_found": p7_found,
+        "p7_spans": p7_spans,
+        "p8_found": p8_found,
+    }
 
 
 def oracle_sql() -> dict:
