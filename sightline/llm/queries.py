@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.functions.text import letters_key, to_ms
+from sightline.functions.text import event_type_key, letters_key, to_ms
 from sightline.llm.bpe import encode_texts
+from sightline.llm.digests import certified, digests, merge_digests
 from sightline.llm.leaks import find_leaks, removal_spans
 from sightline.llm.runs import collapse_runs
 from sightline.llm.splits import deal, linked_sets, path_keys, split_key, torn_sets
@@ -17,6 +18,38 @@ TOKENIZERS = "/opt/tokenizers"
 MAX_GAP_MS = 5000
 
 
+def _run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each (run_id, detector) once, by its first delivery."""
+    kept = ["ingested_at", "started_at", "infer_ms"]
+    once = table(spark, sf_dir, "run_stats").groupBy("run_id", "detector").agg(F.min(F.struct(*kept)).alias("r"))
+    return once.select("detector", "r.started_at", "r.infer_ms")
+
+
+def _day(seconds: str):  # noqa: ANN202
+    s = F.col(seconds)
+    return F.when(s.isNotNull() & ~F.isnan(s) & (F.abs(s) < 1e11), F.date_from_unix_date(F.floor(s / 86400).cast("int")))
+
+
+def p1_infer_ms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of the inference times per detector and UTC day, with the digests to merge later."""
+    keys = {"detector": F.col("detector"), "day": _day("started_at")}
+    return certified(_run_stats(spark, sf_dir), keys, F.col("infer_ms"))
+
+
+def p1_infer_all_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of the inference times per detector, merged from the digests of its days."""
+    runs = _run_stats(spark, sf_dir)
+    days = digests(runs, {"detector": F.col("detector"), "day": _day("started_at")}, F.col("infer_ms"))
+    return certified(runs, {"detector": F.col("detector")}, F.col("infer_ms"), merge_digests(days, ["detector"]))
+
+
+def p1_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of the peak confidence per event type, each event by its last written row."""
+    log = table(spark, sf_dir, "event_log").groupBy("event_id").agg(F.max(F.struct("log_seq", "event_type", "peak_confidence")).alias("r"))
+    last = log.select("r.event_type", "r.peak_confidence")
+    return certified(last, {"event_type": event_type_key(F.col("event_type"))}, F.array("peak_confidence"))
+
+
 def _runs(spark: SparkSession, sf_dir: str, similarity: float) -> DataFrame:
     d = table(spark, sf_dir, "detections")
     return collapse_runs(d, F.col("camera_id"), F.col("det_id"), [F.col("ts"), F.col("module_order"), F.col("det_idx")], to_ms(F.col("ts")), letters_key(F.col("label")), F.col("ingested_at"), MAX_GAP_MS, similarity)
@@ -107,6 +140,9 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "p1_infer_ms": p1_infer_ms,
+        "p1_infer_all_days": p1_infer_all_days,
+        "p1_confidence": p1_confidence,
         "p4_found": p4_found,
         "p4_near": p4_near,
         "p5_found": p5_found,
