@@ -101,3 +101,81 @@ def sessions(df: DataFrame, keys: list[str], time: str, ties: list[str], gap: in
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns) if i != at), start], names=out.names)
 
     return ordered.mapInArrow(rescan, out)
+
+
+class _Last:
+    """state: (entity values, last value that wasn't NULL, or None)."""
+
+    def __init__(self, keys: list[str], value: str, state: tuple | None = None) -> None:
+        self.keys, self.value, self.state, self.entities = keys, value, state, 0
+
+    def feed(self, b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """For each row the last value of its entity before it, and whether there is one."""
+        n = b.num_rows
+        column = b.column(b.schema.get_field_index(self.value))
+        known = np.asarray(column.is_valid())
+        values = column.fill_null(0).to_numpy(zero_copy_only=False)
+        entity, last_entity = (tuple(b.column(b.schema.get_field_index(k))[i].as_py() for k in self.keys) for i in (0, n - 1))
+        change = _changes(b, self.keys)
+        goes_on = self.state is not None and self.state[0] == entity
+        self.entities += int(change.sum()) + (not goes_on)
+        begin = np.maximum.accumulate(np.where(change, np.arange(n), 0))
+        at = np.maximum.accumulate(np.where(known, np.arange(n), -1))
+        before = np.concatenate([[-1], at[:-1]])
+        found = before >= begin
+        out = values[np.maximum(before, 0)].copy()
+        if goes_on and self.state[1] is not None:
+            head = (begin == 0) & ~found
+            out[head], found[head] = self.state[1], True
+        own = at[n - 1] >= begin[n - 1]
+        carried = self.state[1] if goes_on and begin[n - 1] == 0 else None
+        self.state = (last_entity, values[at[n - 1]].item() if own else carried)
+        return out, found
+
+
+def last_before(df: DataFrame, keys: list[str], time: str, ties: list[str], value: str, name: str) -> DataFrame:
+    """``df`` with the last ``value`` that isn't NULL among the earlier rows of the same entity: a backward as-of lookup.
+
+    Rows whose ``time`` is NULL are left out. NULL is an ordinary value of a key. An empty table stays empty.
+    """
+    order = [*keys, time, *ties]
+    ordered = df.where(F.col(time).isNotNull()).repartitionByRange(range_width(df.sparkSession), *order).sortWithinPartitions(*order)
+    ordered = cut(ordered.withColumn("__pid", F.spark_partition_id()))
+    kinds, kind = [ordered.schema[k] for k in keys], ordered.schema[value].dataType
+    ends = T.StructType([*(T.StructField(f"f_{f.name}", f.dataType) for f in kinds), *(T.StructField(f"l_{f.name}", f.dataType) for f in kinds), T.StructField("pid", T.LongType()), T.StructField("entities", T.LongType()), T.StructField("value", kind)])
+
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scan, pid, first, types = _Last(keys, value), None, None, []
+        for b in batches:
+            if b.num_rows:
+                if pid is None:
+                    pid = b.column(b.schema.get_field_index("__pid"))[0].as_py()
+                    first = tuple(b.column(b.schema.get_field_index(k))[0].as_py() for k in keys)
+                    types = [b.column(b.schema.get_field_index(k)).type for k in (*keys, value)]
+                scan.feed(b)
+        if pid is not None:
+            named = [pa.array([v], t) for e in (first, scan.state[0]) for v, t in zip(e, types)]
+            yield pa.RecordBatch.from_arrays([*named, pa.array([pid], pa.int64()), pa.array([scan.entities], pa.int64()), pa.array([scan.state[1]], types[-1])], names=ends.names)
+
+    carried, state = {}, None
+    for r in sorted(ordered.select(*keys, value, "__pid").mapInArrow(summarise, ends).collect(), key=lambda r: r["pid"]):
+        carried[r["pid"]] = state
+        last = tuple(r[f"l_{k}"] for k in keys)
+        same = state is not None and state[0] == last and r["entities"] == 1
+        state = (last, state[1] if same and r["value"] is None else r["value"])
+
+    out = T.StructType([*(f for f in ordered.schema.fields if f.name != "__pid"), T.StructField(name, kind)])
+
+    def rescan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scan = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            at = b.schema.get_field_index("__pid")
+            if scan is None:
+                scan = _Last(keys, value, carried[b.column(at)[0].as_py()])
+            values, found = scan.feed(b)
+            kind = b.column(b.schema.get_field_index(value)).type
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns) if i != at), pa.array(values, kind, mask=~found)], names=out.names)
+
+    return ordered.mapInArrow(rescan, out)
