@@ -179,3 +179,24 @@ def last_before(df: DataFrame, keys: list[str], time: str, ties: list[str], valu
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns) if i != at), pa.array(values, kind, mask=~found)], names=out.names)
 
     return ordered.mapInArrow(rescan, out)
+
+
+def global_rank(df: DataFrame, keys: list[str], order: list[str], name: str = "rank") -> DataFrame:
+    """``df`` with each row's rank (from 1) within its key in the given order, which must be total.
+
+    Rows are range-sorted over the cluster; a row's place in its partition, the sizes of the partitions before (one
+    number each) and the first place of each key give the rank, so no key is held by one task.
+    """
+    spark, sort = df.sparkSession, [*keys, *order]
+    ordered = df.repartitionByRange(range_width(spark), *sort).sortWithinPartitions(*sort)
+    ordered = cut(ordered.withColumns({"__pid": F.spark_partition_id(), "__at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}))
+    before, total = [], 0
+    for r in sorted(ordered.groupBy("__pid").count().collect()):  # one row per partition
+        before.append((r["__pid"], total))
+        total += r["count"]
+    offsets = F.broadcast(spark.createDataFrame(before, "__pid int, __before long"))
+    placed = ordered.join(offsets, "__pid").withColumn("__at", F.col("__before") + F.col("__at"))
+    first = placed.groupBy(*keys).agg(F.min("__at").alias("__first"))
+    first = first.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), "__first")
+    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    return placed.join(first, same).withColumn(name, F.col("__at") - F.col("__first") + 1).select(*df.columns, name)
