@@ -7,8 +7,8 @@ areas; then, in rounds, only for those that the classifiers trained so far see i
 that at least half of its annotators gave; unknown names are ignored. The share that decides is calibrated per area on
 the labelled documents, drawn towards the share that is best for all areas together where an area has few labels.
 
-The fit takes at most ``max_labelled`` labelled documents, the first in order of a hash of their ids; everything else
-covers all rows. The model has a fixed size and is broadcast; classifying is one pass without a shuffle.
+The fit takes at most ``max_labelled`` labelled documents, the first in order of a hash of their ids; where there are
+fewer, unlabelled ones fill the sample, for which a first model's answers stand. Everything else covers all rows. The model has a fixed size and is broadcast; classifying is one pass without a shuffle.
 
 Defined results: NULL, empty and blank texts, and texts without an area, have no row; repeated labels of one annotator
 count once; with no labels at all there are no rows; repeated documents each have rows; further columns are ignored.
@@ -35,6 +35,8 @@ MAX_LABELLED = 3000
 #: A sentence treats the area whose classifier gives it most, if that is at least this.
 TREATS = 0.35
 ROUNDS = 3
+#: The share to begin with: a quarter, less the sentences that a classifier misses; it weighs as much as so many labels.
+USUAL_SHARE, USUAL_WEIGHT = 0.18, 300
 CHUNK_CHARS = 1_000_000
 
 _MARKUP = re.compile(r"<[/!?]?[A-Za-z][^<>]{0,200}>|&[#a-z0-9]{2,8};")
@@ -129,13 +131,13 @@ class Matrix:
         return np.stack([np.bincount(self.column, self.value * error[:, k][self.row], width) for k in range(error.shape[1])])
 
 
-def fit_logistic(x: Matrix, y: np.ndarray, weight: np.ndarray, steps: int = 35, ridge: float = 2e-5, rate: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
+def fit_logistic(x: Matrix, y: np.ndarray, weight: np.ndarray, steps: int = 35, start: tuple[np.ndarray, np.ndarray] | None = None, ridge: float = 2e-5, rate: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
     """The weights and biases of one classifier per column of ``y`` (values from 0 to 1), by scaled gradient steps."""
     classes = y.shape[1]
     used, column = np.unique(x.column, return_inverse=True)
     own = Matrix([])
     own.n, own.row, own.value, own.column = x.n, x.row, x.value, column.astype(np.int32)
-    w, b = np.zeros((classes, len(used))), np.full(classes, -2.0)
+    w, b = (start[0][:, used].copy(), start[1].copy()) if start else (np.zeros((classes, len(used))), np.full(classes, -2.0))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), np.zeros_like(b), np.zeros_like(b)
     share = weight / weight.sum()
     for t in range(1, steps + 1):
@@ -191,10 +193,19 @@ def vote(labels: list[tuple[object, str | None, str | None]], names: list[str])
     return {d: {k for k in set().union(*by.values()) if 2 * sum(k in v for v in by.values()) >= len(by)} for d, by in given.items()}
 
 
-def fit(texts: list[str], areas: list[set[int]], names: list[str]) -> Model | None:
-    """Fit the classifiers and calibrate the shares on labelled texts."""
+def fit(texts: list[str], areas: list[set[int]], names: list[str], more: list[str] | None = None) -> Model | None:
+    """Fit the classifiers and calibrate the shares on labelled texts.
+
+    ``more``: texts without labels. A first model's answers stand for their labels in a second fit.
+    """
     if not any(areas):
         return None
+    known, start = len(texts), None
+    if more:
+        first = fit(texts, areas, names)
+        share, start = first.shares(more), (first.w, first.b)
+        texts = [*texts, *more]
+        areas = [*areas, *({int(k) for k in np.flatnonzero(s >= np.maximum(first.share, 0.2))} for s in share)]
     split = [sentences(t) for t in texts]
     count = np.array([len(s) for s in split])
     of = np.repeat(np.arange(len(texts)), count)
@@ -206,13 +217,14 @@ def fit(texts: list[str], areas: list[set[int]], names: list[str]) -> Model | No
     y = may / np.maximum(may.sum(axis=1, keepdims=True), 1)
     weight = 1 / np.sqrt(np.maximum(count, 1))[of]
     for turn in range(ROUNDS):
-        w, b = fit_logistic(x, y, weight)
+        w, b = start = fit_logistic(x, y, weight, 20 if start else 35, start)
         if turn == ROUNDS - 1:
             break
         z = x.dot(w) + b
         p = 1 / (1 + np.exp(-z))
         inside = np.where(may > 0, p, 0)
-        best, level = inside.argmax(axis=1), (0.25, 0.4)[min(turn, 1)]
+        best, prior = inside.argmax(axis=1), (weight[:, None] * y).sum(axis=0) / weight.sum()
+        level = (prior + (1 - prior) * (0.15, 0.35)[min(turn, 1)])[best]
         sure = (inside.max(axis=1) >= level)[:, None] & (np.arange(len(names)) == best[:, None])
         # what the classifiers see clearly although no annotator named it says nothing either way
         y = np.where(sure, 1.0, np.where((may == 0) & (p > 0.7), p, 0.0))
@@ -220,7 +232,7 @@ def fit(texts: list[str], areas: list[set[int]], names: list[str]) -> Model | No
     got = model.treated(x)
     hits = np.zeros((len(texts), len(names)))
     np.add.at(hits, (of[got >= 0], got[got >= 0]), 1)
-    model.share = calibrate(hits / np.maximum(count, 1)[:, None], allowed > 0)
+    model.share = calibrate((hits / np.maximum(count, 1)[:, None])[:known], allowed[:known] > 0)
     return model
 
 
@@ -234,9 +246,9 @@ def calibrate(share: np.ndarray, truth: np.ndarray, low: float = 0.12, high: flo
         f1 = 2 * hit / np.maximum(given.reshape(-1, len(grid)).sum(axis=0) + t.sum(), 1)
         return float(np.median(grid[f1 >= f1.max() - 1e-3]))
 
-    whole = best(share, truth)
     own = np.array([best(share[:, k], truth[:, k]) for k in range(share.shape[1])])
     n = truth.sum(axis=0)
+    whole = (best(share, truth) * n.sum() + USUAL_SHARE * USUAL_WEIGHT) / (n.sum() + USUAL_WEIGHT)
     return (own * n + whole * pull) / (n + pull)
 
 
@@ -249,7 +261,13 @@ def train(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame, subjec
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
     rows = sorted(text.join(F.broadcast(chosen), "id").collect(), key=lambda r: (r["id"], r["text"]))
     areas = vote([(r["id"], g["subject"], g["annotator"]) for r in rows for g in r["given"]], names)
-    return fit([r["text"] for r in rows], [areas.get(r["id"], set()) for r in rows], names) if rows and names else None
+    if not rows or not names:
+        return None
+    fill = []
+    if len(rows) < max_labelled:
+        rest = text.join(F.broadcast(keys), "id", "left_anti").orderBy(F.xxhash64("id"), "id", "text").limit(max_labelled - len(rows))
+        fill = [r["text"] for r in rest.collect()]
+    return fit([r["text"] for r in rows], [areas.get(r["id"], set()) for r in rows], names, fill)
 
 
 def classify(docs: DataFrame, id_col: str, text_col: str, model: Model | None) -> DataFrame:
