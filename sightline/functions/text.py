@@ -20,3 +20,10 @@ def to_ms(col: Column) -> Column:
     """Epoch seconds as whole milliseconds; NULL for NULL, NaN and infinite values."""
     finite = col.isNotNull() & ~F.isnan(col) & (F.abs(col) < F.lit(9.0e15))
     return F.when(finite, F.round(col * F.lit(1000.0)).cast("bigint"))
+
+
+def mask(secret: Column, shown: int = 4) -> Column:
+    """The first and last characters of a secret, with stars between; one that is too short is all stars."""
+    n = F.length(secret)
+    ends = F.concat(F.substring(secret, 1, shown), F.repeat(F.lit("*"), n - 2 * shown), F.right(secret, F.lit(shown)))
+    return F.when(n <= 2 * shown, F.repeat(F.lit("*"), n)).otherwise(ends)

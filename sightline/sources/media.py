@@ -36,3 +36,11 @@ def looped(frames: DataFrame, times: int, length: int) -> DataFrame:
     """The frames repeated ``times`` times, with frame numbers going on by ``length`` each time."""
     again = frames.withColumn("__turn", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
     return again.withColumn("frame_index", F.col("frame_index") + F.col("__turn") * length).drop("__turn")
+
+
+def verified(files: DataFrame, expected: str) -> DataFrame:
+    """The files of :func:`images`, failing at run time on one whose SHA-256 isn't the expected one."""
+    if not expected:
+        raise ValueError("the expected hash must be given")
+    wrong = F.raise_error(F.concat(F.lit("hash differs: "), F.col("path"))).cast("boolean")
+    return files.where(F.when(F.col("sha256") != expected.lower(), wrong).otherwise(F.lit(True)))

@@ -123,3 +123,16 @@ def test_delivery(tmp_path, spark):
     deliver(box, {"a": lambda rows: [(True, None)] * len(rows), "b": broken}, str(tmp_path / "d"))
     got = {r.channel: (r.success, r.error) for r in spark.read.parquet(str(tmp_path / "d")).collect()}
     assert got == {"a": (True, None), "b": (False, "OSError: down"), "c": (False, "not configured")}
+
+
+def test_hash_guard(tmp_path, spark):
+    import hashlib
+
+    (tmp_path / "w.pt").write_bytes(b"weights")
+    good = hashlib.sha256(b"weights").hexdigest()
+    files_ = media.images(spark, str(tmp_path), "*.pt")
+    assert media.verified(files_, good.upper()).count() == 1
+    with pytest.raises(Exception, match="hash differs"):
+        media.verified(files_, "0" * 64).collect()
+    with pytest.raises(ValueError):
+        media.verified(files_, "")
