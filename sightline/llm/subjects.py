@@ -40,10 +40,12 @@ USUAL_SHARE, USUAL_WEIGHT = 0.18, 300
 CHUNK_CHARS = 1_000_000
 
 _MARKUP = re.compile(r"<[/!?]?[A-Za-z][^<>]{0,200}>|&[#a-z0-9]{2,8};")
-_END = regex.compile(r"[.!?]+(?=\s|$)|[\r\n]+|\s-\s|[。！？]")
+_END = re.compile(r"[.!?]+(?=\s|$)|[\r\n]+|\s-\s|[。！？]")
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
+_ASCII_WORD = re.compile("[a-z]+")
+_LETTER = re.compile(r"[^\W\d_]")
+_UNSPACED = re.compile("[฀-๿]")
 _BROKEN = re.compile("[ÂÃàâ][\u0080-ÿŒ-™]")
-_THAI = "฀"
 
 
 def mend(text: str) -> str:
@@ -69,20 +71,22 @@ def _again(piece: str) -> str:
 
 def sentences(text: str) -> list[str]:
     """The sentences of a text; in scripts that put blanks between sentences only, the parts between blanks."""
-    out = []
-    for part in _END.split(mend(text).casefold()):
-        if any("฀" <= c <= "๿" for c in part):
+    out, text = [], mend(text).casefold()
+    if not _UNSPACED.search(text):
+        return [part for part in _END.split(text) if _LETTER.search(part)]
+    for part in _END.split(text):
+        if _UNSPACED.search(part):
             held = ""
             for piece in part.split():
                 held = f"{held} {piece}"
-                if sum("฀" <= c <= "๿" for c in piece) >= 8:
+                if len(_UNSPACED.findall(piece)) >= 8:
                     out.append(held)
                     held = ""
             if held and out:
                 out[-1] += held
             elif held:
                 out.append(held)
-        elif _WORD.search(part):
+        elif _LETTER.search(part):
             out.append(part)
     return out
 
@@ -90,28 +94,29 @@ def sentences(text: str) -> list[str]:
 _HASHES: dict[str, int] = {}
 
 
-def _bucket(s: str) -> int:
+def _hash(s: str) -> int:
     h = _HASHES.get(s)
     if h is None:
         if len(_HASHES) > 500_000:
             _HASHES.clear()
-        h = _HASHES[s] = zlib.crc32(s.encode("utf-8", "replace")) % BUCKETS
+        h = _HASHES[s] = zlib.crc32(s.encode("utf-8", "replace"))
     return h
 
 
 def features(sentence: str) -> list[int]:
     """The buckets of a sentence's words and pairs of words; of letter groups where words are not set apart."""
-    out, last = [], ""
-    for w in _WORD.findall(sentence):
+    out, last = [], 0
+    for w in _ASCII_WORD.findall(sentence) if sentence.isascii() else _WORD.findall(sentence):
         if "฀" <= w[0] <= "๿":
-            out += [_bucket(w[i : i + n]) for n in (3, 5) for i in range(max(1, len(w) - n + 1))]
-            last = ""
+            out += [_hash(w[i : i + n]) % BUCKETS for n in (3, 5) for i in range(max(1, len(w) - n + 1))]
+            last = 0
         elif len(w) > 1:
-            out.append(_bucket(w))
+            h = _hash(w)
+            out.append(h % BUCKETS)
             if last:
-                out.append(_bucket(f"{last} {w}"))
-            last = w
-    return sorted(set(out))
+                out.append((last * 0x9E3779B1 ^ h) // 128 % BUCKETS)
+            last = h
+    return list(dict.fromkeys(out))
 
 
 class Matrix:
