@@ -21,6 +21,7 @@ import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from copy import copy
 from dataclasses import dataclass
 
 import numpy as np
@@ -126,36 +127,45 @@ class Matrix:
         count = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
         self.n = len(rows)
         self.column = np.fromiter((x for r in rows for x in r), dtype=np.int32, count=int(count.sum()))
+        self.filled = np.flatnonzero(count)
+        self.begin = (np.cumsum(count) - count)[self.filled]
         self.row = np.repeat(np.arange(self.n, dtype=np.int32), count)
         self.value = np.repeat((1 / np.sqrt(np.maximum(count, 1))).astype(np.float32), count)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.stack([np.bincount(self.row, self.value * w[k][self.column], self.n) for k in range(len(w))], axis=1)
-
-    def gradient(self, error: np.ndarray, width: int) -> np.ndarray:
-        return np.stack([np.bincount(self.column, self.value * error[:, k][self.row], width) for k in range(error.shape[1])])
+        """The product with weights of shape (column, class)."""
+        out = np.zeros((self.n, w.shape[1]), dtype=np.float32)
+        if len(self.filled):
+            out[self.filled] = np.add.reduceat(w[self.column], self.begin, axis=0)
+            out[self.filled] *= self.value[self.begin][:, None]
+        return out
 
 
 def fit_logistic(x: Matrix, y: np.ndarray, weight: np.ndarray, steps: int = 35, start: tuple[np.ndarray, np.ndarray] | None = None, ridge: float = 2e-5, rate: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
     """The weights and biases of one classifier per column of ``y`` (values from 0 to 1), by scaled gradient steps."""
     classes = y.shape[1]
     used, column = np.unique(x.column, return_inverse=True)
-    own = Matrix([])
-    own.n, own.row, own.value, own.column = x.n, x.row, x.value, column.astype(np.int32)
-    w, b = (start[0][:, used].copy(), start[1].copy()) if start else (np.zeros((classes, len(used))), np.full(classes, -2.0))
+    own = copy(x)
+    own.column = column.astype(np.int32)
+    by = np.argsort(column, kind="stable")
+    rows, first = x.row[by], np.searchsorted(column[by], np.arange(len(used)))
+    scale = np.zeros((x.n, 1), dtype=np.float32)
+    scale[x.filled, 0] = x.value[x.begin]
+    w, b = (start[0][used].astype(np.float32), start[1].copy()) if start else (np.zeros((len(used), classes), np.float32), np.full(classes, -2.0))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), np.zeros_like(b), np.zeros_like(b)
-    share = weight / weight.sum()
+    share = (weight / weight.sum())[:, None]
     for t in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(own.dot(w) + b, -30, 30)))
-        error = (p - y) * share[:, None]
-        g, gb = own.gradient(error, len(used)) + ridge * w, error.sum(axis=0)
+        error = (p - y) * share
+        g = np.add.reduceat((error * scale).astype(np.float32)[rows], first, axis=0) + ridge * w
+        gb = error.sum(axis=0)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         c1, c2 = 1 - 0.9**t, 1 - 0.99**t
-        w -= rate * (m / c1) / (np.sqrt(v / c2) + 1e-9)
+        w -= (rate / c1 * m / (np.sqrt(v / c2) + 1e-9)).astype(np.float32)
         b -= rate * (mb / c1) / (np.sqrt(vb / c2) + 1e-9)
-    full = np.zeros((classes, BUCKETS))
-    full[:, used] = w
+    full = np.zeros((BUCKETS, classes), dtype=np.float32)
+    full[used] = w
     return full, b
 
 
@@ -203,7 +213,7 @@ def fit(texts: list[str], areas: list[set[int]], names: list[str], more: list[st
 
     ``more``: texts without labels. A first model's answers stand for their labels in a second fit.
     """
-    if not any(areas):
+    if not any(areas) or not any(map(sentences, texts)):
         return None
     known, start = len(texts), None
     if more:
