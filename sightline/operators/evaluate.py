@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The module in a clip's name and the event type it stands for; '' is none.
 MODULES = {"hazard": "hazard_object", "smoking": "smoking", "fight": "fight", "climbing": "climbing", "outarea": "out_of_area", "normal": ""}
@@ -192,12 +196,34 @@ def tenths(values: Column) -> Column:
     return F.transform(good, lambda x: F.round(x * 10).cast("bigint"))
 
 
-def rolling(values: Column, width: int = 30) -> Column:
-    """For each place of an array the sum, count and median of the last ``width`` values, without leaving the row."""
+def rolling(df: DataFrame, keys: list[str], values: str, width: int = 30) -> DataFrame:
+    """For each place of a BIGINT array the sum, count and median of the last ``width`` values: keys, pos, total, n, median.
 
-    def at(i: Column) -> Column:
-        start = F.greatest(i - (width - 1), F.lit(0))
-        part = F.slice(values, start + 1, i - start + 1)
-        return F.struct(i.alias("pos"), F.aggregate(part, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"), F.size(part).alias("n"), median_of(part).alias("median"))
-
-    return F.when(F.size(values) > 0, F.transform(F.sequence(F.lit(0), F.size(values) - 1), at))
+    A row's array holds the whole sequence, so nothing is shuffled; all windows of an Arrow batch are sorted at once.
+    """
+    schema = T.StructType([*(df.schema[k] for k in keys), T.StructField("pos", T.LongType()), T.StructField("total", T.LongType()), T.StructField("n", T.LongType()), T.StructField("median", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(len(keys))
+            flat, length = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.diff(lists.offsets.to_numpy())
+            if not len(flat):
+                continue
+            row = np.repeat(np.arange(b.num_rows), length)
+            pos = np.arange(len(flat)) - np.repeat(np.cumsum(length) - length, length)
+            n = np.minimum(pos + 1, width)
+            sums = np.concatenate([[0], np.cumsum(flat)])
+            end = np.arange(1, len(flat) + 1)
+            median = np.empty(len(flat))
+            padded = np.concatenate([np.full(width - 1, np.iinfo(np.int64).max), flat])
+            windows = np.lib.stride_tricks.sliding_window_view(padded, width)
+            for s in range(0, len(flat), 200_000):
+                own = n[s : s + 200_000]
+                part = np.where(np.arange(width) >= width - own[:, None], windows[s : s + 200_000], np.iinfo(np.int64).max)
+                part.sort(axis=1)
+                at = np.arange(len(own))
+                median[s : s + 200_000] = (part[at, (own - 1) // 2] + part[at, own // 2]) / 2.0
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(take) for i in range(len(keys))), pa.array(pos), pa.array(sums[end] - sums[end - n]), pa.array(n), pa.array(median)], names=schema.names)
+
+    return df.select(*keys, values).where(F.size(values) > 0).mapInArrow(run, schema)

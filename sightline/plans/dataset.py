@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sightline.functions.text import to_ms
 from sightline.operators.dataset import class_of, grouped_split, groups_under_cap, keep_class, near_any, nearest, negative_group, relocate, seeded_split, sign_hash, source_group, split_key, split_report
 from sightline.operators.evaluate import base_name
-from sightline.operators.tracking import fights, wrist_speeds
+from sightline.operators.tracking import fights, tracks, wrist_speeds
 from sightline.plans.detections import _ONCE, detections
 from sightline.sources.media import source_kind
 from sightline.sources.tables import table
@@ -205,6 +205,10 @@ def fight_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fights(_people(spark, sf_dir))
 
 
+def person_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tracks(_people(spark, sf_dir))
+
+
 def wrist_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrist_speeds(_people(spark, sf_dir))
 
@@ -237,6 +241,7 @@ def queries() -> dict:
         "source_kinds": source_kinds,
         "video_clock": video_clock,
         "fight_candidates": fight_candidates,
+        "person_tracks": person_tracks,
         "wrist_speed": wrist_speed,
     }
 

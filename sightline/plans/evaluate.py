@@ -167,8 +167,8 @@ def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rolling_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and median inference time over the last 30 frames of a run, at each frame."""
-    r = _runs(spark, sf_dir).select("run_id", "detector", F.explode(rolling(F.col("v"))).alias("r"))
-    return r.select("run_id", "detector", "r.pos", (F.col("r.total") / F.col("r.n") / F.lit(10.0)).alias("mean_ms"), (F.col("r.median") / F.lit(10.0)).alias("median_ms"))
+    r = rolling(_runs(spark, sf_dir), ["run_id", "detector"], "v")
+    return r.select("run_id", "detector", "pos", (F.col("total") / F.col("n") / F.lit(10.0)).alias("mean_ms"), (F.col("median") / F.lit(10.0)).alias("median_ms"))
 
 
 _ROLLING_SQL = f"""WITH {_RUNS}, e AS (SELECT run_id, detector, unnest(v) AS x, unnest(range(len(v))) AS pos FROM vals WHERE len(v) > 0)
