@@ -11,10 +11,12 @@ fold along a key is one row per confirmed session. All times are BIGINT microsec
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -128,16 +130,24 @@ def cooldown_slots(df: DataFrame, keys: list[str], time_us: str, seq: str, coold
     """
     base = df.select(*keys, F.col(time_us).alias("t"), F.col(seq).alias("s"), (F.col(success) if success else F.lit(True)).alias("ok"))
     split = sessions(base, keys, "t", ["s"], cooldown_us if inclusive else cooldown_us + 1, name="part")
-    schema = T.StructType([*(split.schema[k] for k in keys), T.StructField("t", T.LongType()), T.StructField("s", T.LongType())])
+    ordered = split.repartition(*keys, "part").sortWithinPartitions(*keys, "part", "t", "s")
+    n = len(keys)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: tuple | None = None
+        last: int | None = None
+        for b in batches:
+            take = []
+            columns = [b.column(b.schema.get_field_index(c)).to_pylist() for c in (*keys, "part", "t", "ok")]
+            for i, row in enumerate(zip(*columns)):
+                if row[: n + 1] != group:
+                    group, last = row[: n + 1], None
+                t, ok = row[n + 1], row[n + 2]
+                if last is None or (t - last >= cooldown_us if inclusive else t - last > cooldown_us):
+                    take.append(i)
+                    if ok:
+                        last = t
+            yield b.select([*keys, "t", "s"]).take(pa.array(take, pa.int64()))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "s"], kind="stable")
-        take, last = [], None
-        for t, ok in zip(pdf["t"].tolist(), pdf["ok"].tolist()):
-            free = last is None or (t - last >= cooldown_us if inclusive else t - last > cooldown_us)
-            take.append(free)
-            if free and ok:
-                last = t
-        return pdf[take][[*keys, "t", "s"]]
-
-    return split.groupBy(*keys, "part").applyInPandas(fold, schema).select(*keys, F.col("t").alias(time_us), F.col("s").alias(seq))
+    schema = T.StructType([*(split.schema[k] for k in keys), T.StructField("t", T.LongType()), T.StructField("s", T.LongType())])
+    return ordered.mapInArrow(fold, schema).select(*keys, F.col("t").alias(time_us), F.col("s").alias(seq))
