@@ -24,10 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sightline.session import cut
+from sightline.session import cut, range_width
 
 DELTA = 500.0
-SALTS = 64
+#: Partitions of a group whose digests one task merges at a time; a session that shuffles into more salts its groups.
+PARTS_A_TASK = 64
 BUFFER_VALUES = 1_000_000
 PERCENTILES = (0.5, 0.9, 0.99)
 
@@ -82,7 +83,7 @@ class _Group:
 
 def digests(df: DataFrame, keys: dict[str, Column], values: Column, least: float = 0.0, delta: float = DELTA) -> DataFrame:
     """The digest of each group of the values in an array column: the keys, ``n``, ``low``, ``high``, ``means``, ``counts``."""
-    names = list(keys)
+    names, salts = list(keys), -(-range_width(df.sparkSession) // PARTS_A_TASK)
     rows = df.select(*(c.alias(k) for k, c in keys.items()), values.cast("array<double>").alias("__values"))
     rows = rows.where("__values IS NOT NULL")
     schema = T.StructType([*rows.schema.fields[:-1], *_DIGEST, T.StructField("__salt", T.IntegerType())])
@@ -118,7 +119,7 @@ def digests(df: DataFrame, keys: dict[str, Column], values: Column, least: float
         for g in groups.values():
             g.pack(delta)
         made = list(groups.values())
-        salt = TaskContext.get().partitionId() % SALTS
+        salt = TaskContext.get().partitionId() % salts
         yield pa.RecordBatch.from_arrays(
             [
                 *(pa.array([k[i] for k in groups], t) for i, t in enumerate(types)),
@@ -132,7 +133,8 @@ def digests(df: DataFrame, keys: dict[str, Column], values: Column, least: float
             names=[*names, *_FIELDS, "__salt"],
         )
 
-    return merge_digests(merge_digests(rows.mapInArrow(run, schema), [*names, "__salt"], delta), names, delta)
+    parts = rows.mapInArrow(run, schema)
+    return merge_digests(merge_digests(parts, [*names, "__salt"], delta) if salts > 1 else parts, names, delta)
 
 
 def merge_digests(df: DataFrame, keys: Sequence[str], delta: float = DELTA) -> DataFrame:

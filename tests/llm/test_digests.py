@@ -55,6 +55,11 @@ def test_certificates(spark):
             assert math.isclose(e, error(values, q, v), abs_tol=1e-12) and e <= b + 1 / r.n
 
 
+def test_salted_groups(spark, monkeypatch):
+    monkeypatch.setattr("sightline.llm.digests.PARTS_A_TASK", 1)
+    test_certificates(spark)
+
+
 def test_parts_merge(spark):
     data = rows(2)
     df = spark.createDataFrame(data, "k string, d int, v array<double>").repartition(3)
