@@ -5,7 +5,7 @@ its records to the smallest of them, so that the links are as many as the member
 rounds contract these links: each component picks its smallest neighbour, the picked links join the spanning forest,
 pointer doubling finds the roots, and links are renamed to roots, with loops and repeats dropped, until none is left.
 Everything stays in tables written to the shared checkpoint folder; nothing is collected. The sets are then ordered by
-size band and hash over the whole cluster and dealt systematically to the splits.
+size band and hash over the whole cluster and dealt systematically to the splits; the few largest are placed first.
 
 Defined results: records with a NULL id are left out; a NULL path or a record without keys is a set of its own; repeated
 ids count as one record with all their keys; an empty table gives an empty result; other columns are not read.
@@ -17,11 +17,26 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sightline.session import cut, range_width
 
-#: How ten sets in a row are dealt: eight to train, one each to validation and test.
-DEAL = ("train", "train", "train", "train", "validation", "train", "train", "train", "train", "test")
+#: The parts of all records that the splits should get, and from which part on a set is placed by itself.
+SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
+LARGE = 0.02
+CYCLE = 100
+
+
+def pattern(shares: dict[str, float], length: int = CYCLE) -> list[str]:
+    """A cycle of splits in the given proportions, each spread evenly; the first one fills what is left."""
+    first, *others = shares
+    out = [first] * length
+    for k, name in enumerate(others):
+        n = round(length * max(0.0, shares[name]) / max(sum(max(0.0, v) for v in shares.values()), 1e-12))
+        free = [i for i in range(length) if out[i] == first]
+        for j in range(min(n, len(free))):
+            out[free[int((j + (k + 1) / (len(others) + 1)) * len(free) / n)]] = name
+    return out
 
 
 def path_keys(path: Column) -> Column:
@@ -89,18 +104,41 @@ def torn_sets(sets: DataFrame, splits: DataFrame) -> DataFrame:
     return sets.join(torn, "set_id").select("id", "set_id")
 
 
+def place_large(large: list[tuple[int, int]], total: int) -> tuple[dict[int, str], dict[str, float]]:
+    """The split of each large set (set, size), the one with the most room, and the parts that the others still need."""
+    room = {k: v * total for k, v in SHARES.items()}
+    placed = {}
+    for key, size in sorted(large, key=lambda x: (-x[1], x[0])):
+        name = max(room, key=room.__getitem__)
+        placed[key] = name
+        room[name] -= size
+    return placed, room
+
+
 def deal(sets: DataFrame, seed: int = 0) -> DataFrame:
-    """``id``, ``set_id`` and ``split``: the sets in order of size band (largest first) and hash, dealt ten by ten."""
+    """``id``, ``set_id`` and ``split``.
+
+    The sets that hold a fiftieth of all records or more (fifty at most) go one by one to the split with the most room.
+    The others stand in order of size band (largest first) and hash and are dealt systematically, in the proportions that
+    the large ones have left.
+    """
     spark = sets.sparkSession
-    sized = sets.groupBy("set_id").agg(F.count("*").alias("size")).select("set_id", (-F.floor(F.log2("size"))).alias("band"), F.xxhash64(F.lit(seed), "set_id").alias("h"))
+    sizes = sets.groupBy("set_id").agg(F.count("*").alias("size"))
+    total = sizes.agg(F.sum("size")).first()[0] or 0
+    large = [(r["set_id"], r["size"]) for r in sizes.where(F.col("size") >= max(2.0, LARGE * total)).collect()]
+    placed, room = place_large(large, total)
+    sized = sizes.where(~F.col("set_id").isin(list(placed))) if placed else sizes
+    sized = sized.select("set_id", (-F.floor(F.log2("size"))).alias("band"), F.xxhash64(F.lit(seed), "set_id").alias("h"))
     order = ["band", "h", "set_id"]
     ranked = sized.repartitionByRange(range_width(spark), *order).sortWithinPartitions(*order)
     ranked = cut(ranked.select("set_id", F.spark_partition_id().alias("pid"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("at")))
-    before, total = [], 0
+    before, count = [], 0
     for r in sorted(ranked.groupBy("pid").count().collect()):  # one row per partition
-        before.append((r["pid"], total))
-        total += r["count"]
+        before.append((r["pid"], count))
+        count += r["count"]
     offsets = F.broadcast(spark.createDataFrame(before, "pid int, before long"))
-    slot = F.element_at(F.array(*map(F.lit, DEAL)), ((F.col("before") + F.col("at")) % len(DEAL) + 1).cast("int"))
+    slot = F.element_at(F.array(*map(F.lit, pattern(room))), ((F.col("before") + F.col("at")) % CYCLE + 1).cast("int"))
     dealt = ranked.join(offsets, "pid").select("set_id", slot.alias("split"))
+    if placed:
+        dealt = dealt.unionByName(spark.createDataFrame(list(placed.items()), T.StructType([sets.schema["set_id"], T.StructField("split", T.StringType())])))
     return sets.join(dealt, "set_id").select("id", "set_id", "split")

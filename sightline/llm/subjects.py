@@ -33,6 +33,8 @@ from pyspark.sql import types as T
 
 BUCKETS = 1 << 16
 MAX_LABELLED = 3000
+#: Longer documents take no part in the fit, so that the sample has a bound in characters; they are classified like others.
+MAX_FIT_CHARS = 100_000
 #: A sentence treats the area whose classifier gives it most, if that is at least this.
 TREATS = 0.35
 ROUNDS = 3
@@ -273,7 +275,7 @@ def train(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame, subjec
     keys = labels.select(F.col("doc_id").alias("id")).where("id IS NOT NULL").distinct()
     keys = keys.orderBy(F.xxhash64("id"), "id").limit(max_labelled)
     chosen = labels.select(F.col("doc_id").alias("id"), "subject", "annotator").join(keys, "id").groupBy("id").agg(F.collect_list(F.struct("subject", "annotator")).alias("given"))
-    text = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
+    text = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.length("text") <= MAX_FIT_CHARS)
     rows = sorted(text.join(F.broadcast(chosen), "id").collect(), key=lambda r: (r["id"], r["text"]))
     areas = vote([(r["id"], g["subject"], g["annotator"]) for r in rows for g in r["given"]], names)
     if not rows or not names:

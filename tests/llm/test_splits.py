@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from sightline.llm.splits import DEAL, deal, key_links, linked_sets, path_keys, spanning_forest, split_key, torn_sets
+from sightline.llm.splits import SHARES, deal, key_links, linked_sets, path_keys, pattern, place_large, spanning_forest, split_key, torn_sets
 
 
 def union_find(rows):
@@ -84,7 +84,15 @@ def test_deal(spark):
     share = {k: c / n for k, c in Counter(r.split for r in got).items()}
     assert abs(share["train"] - 0.8) < 0.04 and abs(share["validation"] - 0.1) < 0.03 and abs(share["test"] - 0.1) < 0.03
     assert sorted((r.id, r.split) for r in deal(sets.repartition(2)).collect()) == sorted((r.id, r.split) for r in got)
-    assert Counter(DEAL) == {"train": 8, "validation": 1, "test": 1}
+
+
+def test_pattern():
+    for i in range(0, 100, 10):
+        assert Counter(pattern(SHARES)[i : i + 10]) == {"train": 8, "validation": 1, "test": 1}
+    assert Counter(pattern({"train": 460, "validation": 100, "test": 100})) == {"train": 70, "validation": 15, "test": 15}
+    assert set(pattern({"train": 1.0, "validation": 0.0, "test": -5.0})) == {"train"} and len(pattern({"train": 0.0, "validation": 0.0, "test": 0.0})) == 100
+    placed, room = place_large([(1, 500), (2, 400), (3, 30)], 1000)
+    assert placed == {1: "train", 2: "train", 3: "validation"} and room["validation"] == 70
 
 
 def test_empty(spark):
