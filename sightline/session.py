@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,3 +53,22 @@ def cut(df: DataFrame) -> DataFrame:
 def range_width(spark: SparkSession) -> int:
     """Partitions of a range sort: those the session shuffles into."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def ship(spark: SparkSession) -> None:
+    """Make the package importable in Python workers of a session that was started elsewhere than beside it.
+
+    Workers find it by PYTHONPATH or in their working folder; only where neither leads to it, the sources are added to
+    the session as an archive, once.
+    """
+    root = Path(__file__).resolve().parent.parent
+    known = [Path.cwd(), *(Path(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p)]
+    sc = spark.sparkContext
+    if any(p.resolve() == root for p in known if p.exists()) or getattr(sc, "_sightline_shipped", False):
+        return
+    target = Path(tempfile.mkdtemp(prefix="sightline-package-")) / "sightline_package.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted((root / "sightline").rglob("*.py")):
+            z.write(p, p.relative_to(root))
+    sc.addPyFile(str(target))
+    sc._sightline_shipped = True
