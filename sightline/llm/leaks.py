@@ -1,19 +1,22 @@
 """Evaluation texts inside training documents, by an FM-index over each shard of the corpus.
 
-The items, a table whose size is checked, are cut into phrases of :data:`PHRASE` words; a phrase that occurs in few
-items is a test phrase. Each shard of documents (a stretch of a partition, whole documents only) becomes one sequence of
-word numbers with its suffix array, its Burrows-Wheeler transform in a wavelet matrix, and sampled suffix positions.
-All test phrases are searched backwards at once through wavelet ranks; their occurrences are located by walking to the
-next sampled position. The pairs of document and item found so get an exact check: the spans that both have in common
-are chained with small gaps allowed (a changed, lost or added word), chains of enough weight are kept, in any order, and
-their words counted against the item. Spans of kept chains are merged per document into removal spans.
-
-Texts are compared as words without case, markup, layout and encoding: compatibility forms and look-alike letters are
-folded, invisible characters and end-of-line hyphens dropped.
-
-Defined results: NULL, empty and blank texts of documents or items match nothing; repeated documents each count;
-an item that occurs twice is checked once per id; a document of any length is indexed whole; empty tables give an empty
-result; other columns are not read. No shuffle; memory follows the shard (:data:`SHARD_WORDS`) or the longest document.
+Every run of :data:`PHRASE` words of an item is a test phrase, however many items share it (an item with fewer words is
+one phrase as a whole). Each shard of documents becomes one sequence of word numbers with its suffix array, its
+Burrows-Wheeler transform in a wavelet matrix, and sampled suffix positions. All test phrases are searched backwards at
+once through wavelet ranks; their occurrences are located by walking to the next sampled position. The located places
+give the result: those of one item in one document with at most :data:`GAP` other words between them form a passage; a
+passage of :data:`LEAST_PASSAGE` found words (or half of a shorter item) counts; a document repeats the item if its
+passages hold half of the item's words, in any order. The passages are the removal spans, merged per document.
+
+So a passage tolerates single changed, lost and added words and pieces in another order; scattered words and forms of
+words that questions share stay below the least passage. Texts are compared as words without case, markup, layout and
+encoding: compatibility forms and look-alike letters are folded, invisible characters and end-of-line hyphens dropped.
+
+Defined results: NULL, empty and blank texts of documents or items match nothing; repeated documents each count; items
+of equal words are searched once and reported each; of items that share most of their words each is reported that the
+document repeats by half; a document of any length is searched whole; empty tables give an empty result; other columns
+are not read. No shuffle. The items are broadcast in blocks of at most :data:`BLOCK_CHARS` characters, measured before
+anything is collected; each block reads the documents once. Memory follows the shard and the found places.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,33 +34,31 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 PHRASE = 3
-#: A phrase that more items than this have in common is a form of words, no test phrase.
-COMMON_ITEMS = 4
-#: Different test phrases that a document must have to be checked, as a part of the item's words and at least, and the
-#: weight from which a chain of spans counts. A copy of half an item has nearly half of its test phrases.
-PHRASE_PART, LEAST_PHRASES, LEAST_CHAIN = 0.125, 3, 8.0
 LEAST_SHARE = 0.5
-#: Words that may differ between two spans of a chain, and what each such break takes from its weight.
-GAP, BREAK = 3, 4.0
-#: An item whose words in a document are for this part those of another item, which has more there by the factor, is none.
-SHARED_PART, MORE = 0.5, 1.15
+#: Words that may stand between two found phrases of a passage, and the found words from which a passage counts.
+GAP, LEAST_PASSAGE = 2, 10
 SHARD_WORDS = 250_000
-SAMPLE = 16
-MAX_ITEMS_BYTES = 64_000_000
+SAMPLE = 4
+BLOCK_CHARS = 32_000_000
+#: Places weighed at a time, whole documents at least.
+PLACES = 2_000_000
 
 #: Letters of other alphabets that look like these Latin ones.
 LOOK_ALIKES = str.maketrans("авесһіјкмнорԛѕтухѵԝɡıοανρτυικ", "abechijkmhopqstyxvwgioavptuik")
+_LOOKS = re.compile(f"[{''.join(map(chr, LOOK_ALIKES))}]")
 _WORD = regex.compile(r"[\p{L}\p{N}\p{M}]+")
 _TAG = re.compile(r"<[/!?]?[A-Za-z][^<>]{0,300}>")
 _HYPHEN = re.compile(r"(?<=\w)[-\u00ad\u2010][ \t]*\r?\n[ \t]*(?=\w)")
 _ESCAPE = re.compile(r"\\(?:u([0-9a-fA-F]{4})|[nrt\"/\\])")
 _UNSEEN = regex.compile(r"[\p{Cf}\p{Mn}--[\u0e00-\u0e7f]]", regex.V1)
+_ASCII = bytes(ord(chr(c).lower()) if chr(c).isalnum() and c < 128 else 32 for c in range(256))
 
 
-def words(text: str) -> list[str]:
-    """The words of a text without case, markup, layout and encoding."""
+def word_keys(text: str) -> list[str] | list[bytes]:
+    """The words of a text without case, markup, layout and encoding; as bytes if all of them are ASCII."""
     if "\\" in text:
         text = _ESCAPE.sub(lambda m: chr(int(m[1], 16)) if m[1] else " ", text)
     if "&" in text:
@@ -66,9 +68,16 @@ def words(text: str) -> list[str]:
     if "-" in text or "\u00ad" in text or "\u2010" in text:
         text = _HYPHEN.sub("", text)
     if text.isascii():
-        return _WORD.findall(text.lower())
-    text = unicodedata.normalize("NFKD", text).casefold()
-    return _WORD.findall(_UNSEEN.sub("", text).translate(LOOK_ALIKES))
+        return text.encode().translate(_ASCII).split()
+    text = _UNSEEN.sub("", unicodedata.normalize("NFKD", text).casefold())
+    if _LOOKS.search(text):
+        text = text.translate(LOOK_ALIKES)
+    return _WORD.findall(text)
+
+
+def words(text: str) -> list[str]:
+    """The words of a text as strings."""
+    return [w if isinstance(w, str) else w.decode() for w in word_keys(text)]
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -157,185 +166,167 @@ class FmIndex:
         return out
 
 
-def neighbours(text: list[int], size: int) -> list[int]:
-    """Each two neighbouring words of a text as one number."""
-    a = np.asarray(text, dtype=np.int64)
-    return (a[:-1] * size + a[1:]).tolist()
-
-
-def places(pairs: list[int]) -> dict[int, list[int]]:
-    """Where each pair of neighbours stands."""
-    out: dict[int, list[int]] = defaultdict(list)
-    for j, p in enumerate(pairs):
-        out[p].append(j)
-    return dict(out)
-
-
-def common_spans(doc: list[int], item: list[int], doc_pairs: list[int], item_places: dict[int, list[int]]) -> list[tuple[int, int, int]]:
-    """The maximal spans (place in doc, place in item, length) of two words or more that both have."""
-    out, reach, get = [], {}, item_places.get
-    for i, p in enumerate(doc_pairs):
-        for j in get(p, ()):
-            if reach.get(i - j, -1) > i:
-                continue
-            n = 2
-            while i + n < len(doc) and j + n < len(item) and doc[i + n] == item[j + n]:
-                n += 1
-            reach[i - j] = i + n - 1
-            out.append((i, j, n))
-    return out
-
-
-def chains(spans: list[tuple[int, int, int]]) -> list[tuple[float, list[tuple[int, int, int]]]]:
-    """Chains of spans that follow each other in both texts with at most GAP words between, best first.
-
-    A chain weighs its words less BREAK for each border between spans. Spans of a better chain are not used again.
-    """
-    left, out = sorted(spans), []
-    while left:
-        best, back = [], []
-        for k, (i, j, n) in enumerate(left):
-            value, link = float(n), -1
-            for p in range(k - 1, -1, -1):
-                a, b, m = left[p]
-                if i - a > 120:
-                    break
-                over = max(0, a + m - i, b + m - j)
-                if a >= i or b >= j or over >= n or max(i - a - m, j - b - m) > GAP:
-                    continue
-                if (v := best[p] + n - over - BREAK) > value:
-                    value, link = v, p
-            best.append(value)
-            back.append(link)
-        k = max(range(len(left)), key=best.__getitem__)
-        if best[k] < LEAST_CHAIN:
-            break
-        value, used = best[k], []
-        while k >= 0:
-            used.append(k)
-            k = back[k]
-        out.append((value, [left[k] for k in used[::-1]]))
-        gone = set(used)
-        left = [s for k, s in enumerate(left) if k not in gone]
-    return out
+def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers from each ``low`` up to its ``high``, and whose they are."""
+    count = high - low
+    whose = np.repeat(np.arange(len(low)), count)
+    return np.arange(len(whose)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count), whose
 
 
-def repeated(spans: list[tuple[int, int, int]], length: int) -> tuple[int, set[int], list[tuple[int, int]]]:
-    """How many of an item's words a document repeats in passages, where in the document, and the passages."""
-    seen, where, passages = np.zeros(length, dtype=bool), set(), []
-    for _, chain in chains(spans):
-        new = 0
-        for _, j, n in chain:
-            new += n - int(seen[j : j + n].sum())
-            seen[j : j + n] = True
-        if new:
-            for i, _, n in chain:
-                where.update(range(i, i + n))
-            passages.append((chain[0][0], chain[-1][0] + chain[-1][2]))
-    return int(seen.sum()), where, passages
+def _expand(start: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entries of the lists ``which``, and whose they are; list k lies from ``start[k]`` to ``start[k + 1]``."""
+    return _ranges(start[which], start[which + 1])
 
 
 class Items:
-    """The items as word numbers, and their test phrases."""
+    """The different items as word numbers, and their test phrases.
+
+    Links join a phrase and an item that has it; those of phrase p are ``link_start[p]`` to ``link_start[p + 1]``. The
+    places of the phrase in the item are those of the link, laid out likewise.
+    """
 
     def __init__(self, rows: list[tuple]) -> None:
-        self.ids, texts = [], []
+        same: dict[tuple[str, ...], list] = defaultdict(list)
         for i, t in rows:
-            w = words(t) if t else []
-            if i is not None and w:
-                self.ids.append(i)
-                texts.append(w)
-        self.number = {w: k + 2 for k, w in enumerate(sorted({x for w in texts for x in w}))}
-        self.texts = [[self.number[x] for x in w] for w in texts]
-        owners: dict[tuple[int, ...], set[int]] = defaultdict(set)
-        for k, t in enumerate(self.texts):
-            for j in range(len(t) - PHRASE + 1):
-                owners[tuple(t[j : j + PHRASE])].add(k)
-            if len(t) < PHRASE:
-                owners[tuple(t)].add(k)
-        few = {p: sorted(o) for p, o in owners.items() if len(o) <= COMMON_ITEMS and len(p) == PHRASE}
-        self.phrases = np.array(list(few), dtype=np.int64).reshape(-1, PHRASE)
-        self.owners = list(few.values())
-        test = defaultdict(int)
-        for o in self.owners:
-            for k in o:
-                test[k] += 1
-        self.needed = [max(1, min(max(LEAST_PHRASES, round(PHRASE_PART * len(t))), test[k] // 4)) for k, t in enumerate(self.texts)]
+            if i is not None and t and (w := tuple(words(t))):
+                same[w].append(i)
+        self.ids = list(same.values())
+        self.number: dict[str | bytes, int] = {w: k + 2 for k, w in enumerate(sorted({x for w in same for x in w}))}
         self.size = len(self.number) + 2
-        self.places = [places(neighbours(t, self.size)) for t in self.texts]
-
-
-def _shard(docs: list[tuple[object, list[int]]], items: Items) -> list[tuple[object, int, int, list[tuple[int, int]]]]:
-    """The leaks of one shard: (document, item number, words repeated, passages)."""
-    parts, starts, at = [], [], 0
-    for _, w in docs:
-        a = np.array([*w, 0], dtype=np.int64)
-        starts.append(at)
-        at += len(a)
-        parts.append(a)
-    if not at or not len(items.phrases):
+        texts = [[self.number[x] for x in w] for w in same]
+        self.number |= {w.encode(): k for w, k in self.number.items() if w.isascii()}
+        self.length = np.array([len(t) for t in texts], dtype=np.int64)
+        self.width = np.minimum(self.length, PHRASE)
+        owned: dict[tuple[int, ...], dict[int, list[int]]] = {}
+        for k, t in enumerate(texts):
+            n = min(PHRASE, len(t))
+            for j in range(len(t) - n + 1):
+                owned.setdefault(tuple(t[j : j + n]), {}).setdefault(k, []).append(j)
+        phrases = sorted(owned, key=len)
+        self.phrases = [(a, np.array(g, dtype=np.int64)) for n in range(1, PHRASE + 1) if (g := [p for p in phrases if len(p) == n]) for a in [sum(len(p) < n for p in phrases)]]
+        self.link_start = np.cumsum([0, *(len(owned[p]) for p in phrases)])
+        self.link_item = np.array([k for p in phrases for k in owned[p]], dtype=np.int64)
+        self.place_start = np.cumsum([0, *(len(j) for p in phrases for j in owned[p].values())])
+        self.place = np.array([j for p in phrases for at in owned[p].values() for j in at], dtype=np.int64)
+
+
+def occurrences(s: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
+    """Where in a sequence of word numbers which test phrase begins, by indexes over its parts.
+
+    Words that no item has (1) can't be part of a phrase, so that each run of them takes one place in the index.
+    """
+    kept = np.flatnonzero(np.concatenate([[True], (s[1:] != 1) | (s[:-1] != 1)]))
+    short = s[kept]
+    step = -(-len(short) // max(1, round(len(short) / SHARD_WORDS)))
+    at, which = [], []
+    for begin in range(0, len(short), step):
+        index = FmIndex(short[begin : begin + step + PHRASE - 1], items.size)
+        for first, phrases in items.phrases:
+            low, high = index.search(phrases)
+            rows, phrase = _ranges(low, high)
+            place = index.locate(rows)
+            own = place < step
+            at.append(kept[begin + place[own]])
+            which.append(first + phrase[own])
+    return np.concatenate(at), np.concatenate(which)
+
+
+def passages(doc: np.ndarray, at: np.ndarray, which: np.ndarray, items: Items) -> list[tuple[int, int, int, list[tuple[int, int]]]]:
+    """The items that documents repeat: (document, item, words repeated, passages). ``at``: places, ascending by document."""
+    link, whose = _expand(items.link_start, which)
+    item, doc, at = items.link_item[link], doc[whose], at[whose]
+    order = np.argsort((((doc - doc[0]) * len(items.length) + item) << 32) + at, kind="stable")
+    link, item, doc, at = link[order], item[order], doc[order], at[order]
+    width = items.width[item]
+    other = np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])])
+    space = np.concatenate([[0], at[1:] - at[:-1] - width[:-1]])
+    fresh = other | (space > GAP)
+    begin = np.flatnonzero(fresh)
+    end = np.append(begin[1:], len(at)) - 1
+    found = np.add.reduceat(np.where(fresh, width, width + np.minimum(space, 0)), begin)
+    half = np.ceil(LEAST_SHARE * items.length).astype(np.int64)
+    counts = found >= np.minimum(LEAST_PASSAGE, half[item[begin]])
+    pair = np.cumsum(other) - 1
+    inside = counts[np.cumsum(fresh) - 1]
+    if not inside.any():
         return []
-    index = FmIndex(np.concatenate(parts), items.size)
-    low, high = index.search(items.phrases)
-    count = high - low
-    phrase = np.repeat(np.arange(len(count)), count)
-    rows = np.arange(len(phrase)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
-    doc = np.searchsorted(np.array(starts), index.locate(rows), "right") - 1
-    hits: dict[tuple[int, int], int] = defaultdict(int)
-    for d, p in set(zip(doc.tolist(), phrase.tolist())):
-        for k in items.owners[p]:
-            hits[d, k] += 1
-    asked: dict[int, list[int]] = defaultdict(list)
-    for (d, k), n in hits.items():
-        if n >= items.needed[k]:
-            asked[d].append(k)
-    out = []
-    for d in sorted(asked):
-        text = docs[d][1]
-        pairs = neighbours(text, items.size)
-        checked = [(k, *repeated(common_spans(text, items.texts[k], pairs, items.places[k]), len(items.texts[k]))) for k in sorted(asked[d])]
-        for k, said, where, passages in checked:
-            if said >= LEAST_SHARE * len(items.texts[k]) and not any(len(o) > MORE * len(where) and len(o & where) > SHARED_PART * len(where) for _, _, o, _ in checked):
-                out.append((docs[d][0], k, said, passages))
+    links = np.unique(np.stack([pair[inside], link[inside]]), axis=1)
+    place, of = _expand(items.place_start, links[1])
+    said = np.unique(np.concatenate([(links[0][of] << 32) + items.place[place] + k for k in range(PHRASE)]))
+    head = np.flatnonzero(other)
+    said = said[(said & 0xFFFFFFFF) < items.length[item[head]][said >> 32]]
+    repeated = np.bincount(said >> 32, minlength=len(head))
+    leaks = repeated >= half[item[head]]
+    spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    for k in np.flatnonzero(counts & leaks[pair[begin]]):
+        spans[int(pair[begin[k]])].append((int(at[begin[k]]), int(at[end[k]] + width[end[k]])))
+    return [(int(doc[head[p]]), int(item[head[p]]), int(repeated[p]), spans[p]) for p in np.flatnonzero(leaks).tolist()]
+
+
+def shard_leaks(docs: list[np.ndarray], items: Items) -> list[tuple[int, int, int, list[tuple[int, int]]]]:
+    """The leaks of some documents: (number of the document, item, words repeated, passages)."""
+    if not docs or not len(items.place):
+        return []
+    start = np.cumsum([0, *(len(d) + 1 for d in docs)])
+    s = np.zeros(start[-1], dtype=np.int64)
+    for d, a in zip(docs, start):
+        s[a : a + len(d)] = d
+    at, which = occurrences(s, items)
+    order = np.argsort(at, kind="stable")
+    at, which = at[order], which[order]
+    doc = np.searchsorted(start, at, "right") - 1
+    weight = np.cumsum(items.link_start[which + 1] - items.link_start[which])
+    out, a = [], 0
+    while a < len(at):  # as many places at a time, and the whole of the last document
+        b = int(np.searchsorted(weight, (weight[a - 1] if a else 0) + PLACES, "right"))
+        b = int(np.searchsorted(doc, doc[max(a, b - 1)], "right"))
+        out += passages(doc[a:b], at[a:b] - start[doc[a:b]], which[a:b], items)
+        a = b
     return out
 
 
-def find_leaks(df: DataFrame, id_col: str, text_col: str, items: DataFrame, item_id: str, item_text: str) -> DataFrame:
+def find_leaks(df: DataFrame, id_col: str, text_col: str, items: DataFrame, item_id: str, item_text: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``id_col``, ``item_id``, the item's ``words`` and those ``repeated``, and the passages' word ``spans``."""
-    spark = df.sparkSession
-    rows = [tuple(r) for r in items.select(item_id, item_text).collect()]
-    size = sum(len(t or "") for _, t in rows)
-    if size > MAX_ITEMS_BYTES:
-        raise ValueError(f"the items hold {size} characters; the bound is {MAX_ITEMS_BYTES}. Search them in parts.")
-    known = spark.sparkContext.broadcast(Items(rows))
-    item_type = items.schema[item_id].dataType
+    asked = items.select(F.col(item_id).alias("__item"), F.col(item_text).cast("string").alias("__text")).where("__item IS NOT NULL AND __text <> ''")
+    blocks = max(1, -(-(asked.agg(F.sum(F.length("__text"))).first()[0] or 0) // block_chars))
+    parts = [_search(df, id_col, text_col, asked.where(F.pmod(F.xxhash64("__text"), F.lit(blocks)) == k) if blocks > 1 else asked, item_id) for k in range(blocks)]
+    return reduce(DataFrame.unionAll, parts)
+
+
+def _search(df: DataFrame, id_col: str, text_col: str, asked: DataFrame, item_id: str) -> DataFrame:
+    """The leaks of one block of items, whose size has been checked."""
+    known = df.sparkSession.sparkContext.broadcast(Items([tuple(r) for r in asked.collect()]))
+    item_type = asked.schema["__item"].dataType
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField(item_id, item_type), T.StructField("words", T.IntegerType()), T.StructField("repeated", T.IntegerType()), T.StructField("spans", T.ArrayType(span))])
     spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    item_kind = to_arrow_type(item_type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = known.value
-        kinds: list[pa.DataType] = []
-        held: list[tuple[object, list[int]]] = []
+        get = items.number.get
+        held: list[np.ndarray] = []
+        ids: list[pa.Scalar] = []
         size = 0
 
-        def flush() -> pa.RecordBatch:
-            found = _shard(held, items)
-            item = pa.array([items.ids[k] for _, k, _, _ in found], pa.int64() if isinstance(item_type, T.LongType) else None)
-            return pa.RecordBatch.from_arrays([pa.array([d for d, *_ in found], kinds[0]), item, pa.array([len(items.texts[k]) for _, k, _, _ in found], pa.int32()), pa.array([n for _, _, n, _ in found], pa.int32()), pa.array([[{"start": a, "end": b} for a, b in s] for *_, s in found], spans)], names=[id_col, item_id, "words", "repeated", "spans"])
+        def flush(kind: pa.DataType) -> pa.RecordBatch:
+            found = [(d, i, k, n, s) for d, k, n, s in shard_leaks(held, items) for i in items.ids[k]]
+            columns = [pa.array([ids[d].as_py() for d, *_ in found], kind), pa.array([i for _, i, *_ in found], item_kind), pa.array([int(items.length[k]) for _, _, k, *_ in found], pa.int32())]
+            columns += [pa.array([n for *_, n, _ in found], pa.int32()), pa.array([[{"start": a, "end": b} for a, b in s] for *_, s in found], spans)]
+            return pa.RecordBatch.from_arrays(columns, names=[id_col, item_id, "words", "repeated", "spans"])
 
-        number = items.number.get
         for b in batches:
-            kinds[:] = [b.column(0).type]
             for d, t in zip(b.column(0), b.column(1)):
-                if (text := t.as_py()) and (w := [number(x, 1) for x in words(text)]):
-                    held.append((d.as_py(), w))
+                if (text := t.as_py()) and (w := word_keys(text)):
+                    held.append(np.fromiter((get(x, 1) for x in w), np.int64, len(w)))
+                    ids.append(d)
                     size += len(w)
                     if size >= SHARD_WORDS:
-                        yield flush()
-                        held, size = [], 0
+                        yield flush(b.column(0).type)
+                        held, ids, size = [], [], 0
+            kind = b.column(0).type
         if held:
-            yield flush()
+            yield flush(kind)
 
     return df.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
 
