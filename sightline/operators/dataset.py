@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
+from math import comb
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,9 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sightline.operators.ordered import global_rank
-from sightline.session import cut
+from sightline.session import cut, range_width
 
-BANDS, BAND_BITS = 8, 8
 #: A name's export suffix, its left-over extension, its trailing counter, and groups that stand for nothing.
 EXPORT_SUFFIX, EXTENSION, COUNTER = r"(?i)_(?:jpg|jpeg|png)\.rf\..*$", r"(?i)[_\-](?:jpe?g|png|webp)$", r"[\s_\-()0-9]+$"
 NUMERIC_ONLY, PER_IMAGE_GROUPS = "<numeric-only>", ("<numeric-only>", "gambar")
@@ -67,23 +69,58 @@ def sign_hash(vector: Column) -> Column:
     return F.aggregate(F.reverse(bits), F.lit(0).cast("bigint"), lambda a, x: F.shiftleft(a, 1).bitwiseOR(x))
 
 
-def _masks(radius: int) -> list[int]:
-    return [sum(1 << b for b in c) for n in range(radius + 1) for c in combinations(range(BAND_BITS), n)]
+def band_plan(max_bits: int, count: int, bits: int = 64) -> list[tuple[int, int, list[int]]]:
+    """How to find hashes at most ``max_bits`` apart among ``count``: bands as (first bit, width, masks to flip).
 
-
-def near_hashes(left: DataFrame, right: DataFrame, max_bits: int) -> DataFrame:
+    Two such hashes lie at most max_bits // m apart in one of m bands, and not all of the first max_bits % m + 1 bands and
+    the others one further, so that the others may be probed with a bit less. More hashes make wider bands pay: of all m
+    the one is taken with the fewest probes and candidates for each hash.
+    """
+    best: tuple[float, list[tuple[int, int, int]]] | None = None
+    for m in range(1, min(bits, max_bits + 1) + 1):
+        first, bands = 0, []
+        for i in range(m):
+            width = bits // m + (i < bits % m)
+            bands.append((first, width, max_bits // m - (i > max_bits % m)))
+            first += width
+        balls = [(w, sum(comb(w, k) for k in range(r + 1))) for _, w, r in bands if r >= 0]
+        cost = sum(n + count * n / 2**w for w, n in balls)
+        if best is None or cost < best[0]:
+            best = cost, [b for b in bands if b[2] >= 0]
+    return [(f, w, [sum(1 << b for b in c) for n in range(r + 1) for c in combinations(range(w), n)]) for f, w, r in best[1]]
+
+
+def near_candidates(left: DataFrame, right: DataFrame, max_bits: int, bits: int = 64) -> DataFrame:
+    """The pairs (l, r) of hash values that meet in a band; a pair may come more than once."""
+    lo, hi = (d.select(F.col("hash").alias(c)).where(F.col(c).isNotNull()).distinct() for d, c in ((left, "l"), (right, "r")))
+    plan = band_plan(max_bits, hi.agg(F.approx_count_distinct("r")).first()[0], bits)
+
+    def part(h: Column, first: int, width: int) -> Column:
+        return F.call_function("shiftrightunsigned", h, F.lit(first)).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))
+
+    def numbers(values: list[int]) -> Column:
+        return F.split(F.lit(",".join(str(v - (1 << 64) if v >> 63 else v) for v in values)), ",").cast("array<bigint>")
+
+    def probe(k: int, first: int, width: int, masks: list[int]) -> Column:
+        key = part(F.col("l"), first, width)
+        return F.transform(numbers(masks), lambda m: F.struct(F.lit(k).alias("band"), key.bitwiseXOR(m).alias("key")))
+
+    probes = F.concat(*(probe(k, *band) for k, band in enumerate(plan)))
+    own = F.array(*(F.struct(F.lit(k).alias("band"), part(F.col("r"), f, w).alias("key")) for k, (f, w, _) in enumerate(plan)))
+    lo, hi = (d.select(c, F.explode(x).alias("p")).select(c, "p.band", "p.key") for d, c, x in ((lo, "l", probes), (hi, "r", own)))
+    return lo.join(hi, ["band", "key"]).select("l", "r")
+
+
+def near_hashes(left: DataFrame, right: DataFrame, max_bits: int, bits: int = 64) -> DataFrame:
     """Pairs of different or equal hash values (l, r, bits) at most ``max_bits`` apart; each side has a column ``hash``.
 
-    Exact: of eight bands one must differ in at most max_bits / 8 bits, so the left side probes its bands with that many
-    bits flipped and meets the right side by equal bands. Only distinct hashes take part, however often they repeat.
+    Exact: the left side probes its bands with all flips within their radius and meets the right side by equal bands
+    (:func:`band_plan`). Only distinct hashes take part, however often they repeat; NULL meets nothing. Up to about a
+    tenth of the bits the work grows little faster than the rows; a radius near a third of them is a comparison of all
+    with all, whatever the bands.
     """
-    probes = F.array(*(F.lit(m) for m in _masks(max_bits // BANDS)))
-    bands = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
-    part = lambda h: F.call_function("shiftrightunsigned", h, F.col("band") * BAND_BITS).bitwiseAND((1 << BAND_BITS) - 1)
-    lo = left.select(F.col("hash").alias("l")).where("l IS NOT NULL").distinct().withColumn("band", bands).withColumn("m", F.explode(probes)).select("l", "band", part(F.col("l")).bitwiseXOR(F.col("m")).alias("key"))
-    hi = right.select(F.col("hash").alias("r")).where("r IS NOT NULL").distinct().withColumn("band", bands).select("r", "band", part(F.col("r")).alias("key"))
-    bits = F.bit_count(F.col("l").bitwiseXOR(F.col("r")))
-    return lo.join(hi, ["band", "key"]).withColumn("bits", bits).where(F.col("bits") <= max_bits).select("l", "r", "bits").distinct()
+    apart = F.bit_count(F.col("l").bitwiseXOR(F.col("r")))
+    return near_candidates(left, right, max_bits, bits).withColumn("bits", apart).where(F.col("bits") <= max_bits).distinct()
 
 
 def nearest(others: DataFrame, reference: DataFrame, max_bits: int) -> DataFrame:
@@ -122,17 +159,7 @@ def seeded_split(df: DataFrame, class_col: str, name: str, seed: int = 0, fracti
     keyed = df.select(F.col(class_col).alias("class"), F.col(name).alias("name")).withColumn("h", F.md5(F.concat(F.lit(f"{seed}|"), F.col("name").cast("string"))))
     ranked = global_rank(keyed, ["class"], ["h", "name"])
     size = keyed.groupBy("class").agg(F.floor(F.count("*") * fraction + F.lit(0.5)).alias("val"))
-    return ranked.join(F.broadcast(size), "class").select("class", "name", F.when(F.col("rank") <= F.col("val"), "val").otherwise("train").alias("side"))
-
-
-def _take(pdf: pd.DataFrame, fits) -> pd.DataFrame:  # noqa: ANN001
-    pdf = pdf.sort_values(["h", "grp"], kind="stable")
-    taken, total = [], 0
-    for size in pdf["size"].tolist():
-        yes = fits(total, size)
-        total += size if yes else 0
-        taken.append(yes)
-    return pdf.assign(taken=taken)
+    return ranked.join(size, "class").select("class", "name", F.when(F.col("rank") <= F.col("val"), "val").otherwise("train").alias("side"))
 
 
 def _sizes(items: DataFrame, seed: int) -> DataFrame:
@@ -140,28 +167,65 @@ def _sizes(items: DataFrame, seed: int) -> DataFrame:
     return one.withColumn("h", F.md5(F.concat(F.lit(f"{seed}|"), "grp")))
 
 
-_TAKEN = "grp string, size long, stratum int, h string, taken boolean"
+def take_in_order(sizes: DataFrame, limits: dict[int | None, tuple[float, float]]) -> DataFrame:
+    """The groups (grp, size, stratum) taken one after another in order of h, per stratum with limits (enough, most).
+
+    A group is taken while less than ``enough`` is taken and it doesn't bring the sum above ``most``; others are passed
+    over. The groups are range-sorted, and for each partition the sum of those that still fit is known: as long as whole
+    partitions fit, they are taken whole by these sums. Only the partition in which the rule refuses a group is walked,
+    in one task, and then the rest is summed again without the groups that are too large by now. So the rounds are as
+    many as partitions in which something is refused that fitted before, mostly one or two a stratum.
+    """
+    spark, order = sizes.sparkSession, ["stratum", "h", "grp"]
+    ordered = sizes.repartitionByRange(range_width(spark), *order).sortWithinPartitions(*order)
+    ordered = cut(ordered.select("grp", "size", "stratum", F.spark_partition_id().alias("pid"), F.monotonically_increasing_id().alias("at")))
+    taken = [sizes.select("grp", "size", "stratum").limit(0)]
+    for stratum, (enough, most) in limits.items():
+        total, after = 0, -1
+        while total < enough:
+            left = ordered.where(F.col("stratum").eqNullSafe(F.lit(stratum)) & (F.col("pid") > after) & (total + F.col("size") <= most))
+            cells = sorted(left.groupBy("pid").agg(F.sum("size"), F.max_by("size", "at")).collect())  # one row per partition
+            whole, walked = [], None
+            for pid, size, last in cells:
+                if total + size > most or total + size - last >= enough:
+                    walked = pid
+                    break
+                whole.append(pid)
+                total += size
+            if whole:
+                taken.append(left.where(F.col("pid").between(whole[0], whole[-1])).select("grp", "size", "stratum"))
+            if walked is None:
+                break
+
+            def walk(pdfs: Iterator[pd.DataFrame], total: int = total, enough: float = enough, most: float = most) -> Iterator[pd.DataFrame]:
+                for pdf in pdfs:
+                    yes = []
+                    for size in pdf["size"].tolist():
+                        yes.append(total < enough and total + size <= most)
+                        total += size if yes[-1] else 0
+                    yield pdf[yes]
+
+            found = cut(left.where(F.col("pid") == walked).select("grp", "size", "stratum").mapInPandas(walk, taken[0].schema))
+            taken.append(found)
+            total, after = total + (found.agg(F.sum("size")).first()[0] or 0), walked
+    return reduce(DataFrame.unionAll, taken)
 
 
 def grouped_split(items: DataFrame, seed: int = 0, fraction: float = 0.15) -> DataFrame:
     """``items`` (id, grp, flag) with ``side``: whole groups, in seeded hash order per stratum (a flagged item or none).
 
-    A group goes to val while that is short of its part and the group doesn't overfill it, else to train. The rule looks
-    at one group after another; what it folds over is a row per group, not per item.
+    A group goes to val while that is short of its part and the group doesn't overfill it, else to train.
     """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        target = int(pdf["size"].sum() * fraction + 0.5)
-        return _take(pdf, lambda val, size: val < target and val + size <= target * 1.2 + 1)
-
-    sides = _sizes(items, seed).groupBy("stratum").applyInPandas(fold, _TAKEN)
-    return items.join(sides.select("grp", F.when(F.col("taken"), "val").otherwise("train").alias("side")), "grp").select("id", "grp", "flag", "side")
+    sizes = _sizes(items, seed)
+    target = {r[0]: int(r[1] * fraction + 0.5) for r in sizes.groupBy("stratum").agg(F.sum("size")).collect()}  # two or three strata
+    val = take_in_order(sizes, {k: (t, t * 1.2 + 1) for k, t in target.items()})
+    side = F.when(F.col("val"), "val").otherwise("train").alias("side")
+    return items.join(val.select("grp", F.lit(True).alias("val")), "grp", "left").where("grp IS NOT NULL").select("id", "grp", "flag", side)
 
 
 def groups_under_cap(items: DataFrame, cap: int, seed: int = 0) -> DataFrame:
     """Whole groups in seeded hash order while they fit under ``cap`` items; one that doesn't is passed over."""
-    sizes = _sizes(items, seed).withColumn("stratum", F.lit(0))
-    return sizes.groupBy("stratum").applyInPandas(lambda pdf: _take(pdf, lambda total, size: total + size <= cap), _TAKEN).where("taken").select("grp", "size")
+    return take_in_order(_sizes(items, seed).withColumn("stratum", F.lit(0)), {0: (float("inf"), cap)}).select("grp", "size")
 
 
 def split_report(items: DataFrame) -> DataFrame:

@@ -13,17 +13,24 @@ from sightline.plans.detections import _ONCE, detections
 from sightline.sources.media import source_kind
 from sightline.sources.tables import table
 
-NEAR_BITS = 20
+NEAR_BITS = 6
+#: The copies: to each fifth picture one whose hash has the first (number % 9) of these bits flipped.
+COPY_ID, COPY_BITS = 1_000_000_000, (3, 12, 21, 28, 34, 45, 51, 62)
+_FLIPS = [sum(1 << b for b in COPY_BITS[:k]) for k in range(9)]
 
 
 def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The embeddings as pictures: hash, group and side."""
+    """The embeddings as pictures: hash, group and side; and copies of them as a new export would make them, in val."""
     e = table(spark, sf_dir, "embeddings")
-    return e.select(F.col("vec_id").alias("id"), F.concat(F.lit("g"), (F.col("vec_id") % 60).cast("string")).alias("grp"), F.when(F.col("label") < 7, "train").otherwise("val").alias("side"), sign_hash(F.col("embedding")).alias("hash"))
+    own = e.select(F.col("vec_id").alias("id"), F.concat(F.lit("g"), (F.col("vec_id") % 60).cast("string")).alias("grp"), F.when(F.col("label") < 7, "train").otherwise("val").alias("side"), sign_hash(F.col("embedding")).alias("hash"))
+    flip = F.element_at(F.array(*map(F.lit, _FLIPS)).cast("array<bigint>"), (F.col("id") % 9 + 1).cast("int"))
+    copies = own.where("id % 5 = 0").select((F.col("id") + COPY_ID).alias("id"), F.concat(F.lit("c"), (F.col("id") % 40).cast("string")).alias("grp"), F.lit("val").alias("side"), F.col("hash").bitwiseXOR(flip).alias("hash"))
+    return own.unionByName(copies)
 
 
-_IMG = """img AS (SELECT vec_id AS id, 'g' || (vec_id % 60) AS grp, CASE WHEN label < 7 THEN 'train' ELSE 'val' END AS side,
-  list_sum(list_transform(range(0, 32), lambda i: CASE WHEN embedding[i + 1] > 0 THEN 1::BIGINT << i ELSE 0 END))::BIGINT AS lo, list_sum(list_transform(range(0, 32), lambda i: CASE WHEN embedding[i + 33] > 0 THEN 1::BIGINT << i ELSE 0 END))::BIGINT AS hi FROM embeddings)"""
+_HALF = "list_sum(list_transform(range(0, 32), lambda i: CASE WHEN embedding[i + {}] > 0 THEN 1::BIGINT << i ELSE 0 END))::BIGINT"
+_IMG = f"""own AS (SELECT vec_id AS id, 'g' || (vec_id % 60) AS grp, CASE WHEN label < 7 THEN 'train' ELSE 'val' END AS side, {_HALF.format(1)} AS lo, {_HALF.format(33)} AS hi FROM embeddings),
+img AS (SELECT * FROM own UNION ALL SELECT id + {COPY_ID}, 'c' || (id % 40), 'val', xor(lo, ({[f & 0xFFFFFFFF for f in _FLIPS]})[id % 9 + 1]::BIGINT), xor(hi, ({[f >> 32 for f in _FLIPS]})[id % 9 + 1]::BIGINT) FROM own WHERE id % 5 = 0)"""
 _BITS = "bit_count(xor(a.lo, b.lo))::INT + bit_count(xor(a.hi, b.hi))::INT"
 
 

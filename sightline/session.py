@@ -8,6 +8,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(app: str = "sightline", cores: int | str | None = None, **conf: str) -> SparkSession:
@@ -32,14 +33,16 @@ def local_session(app: str = "sightline", cores: int | str | None = None, **conf
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder that checkpoints go to.
 
-    On a cluster ``spark.checkpoint.dir`` names a folder that all executors share and it is used as it is. Only a
-    session that has none (tests, a laptop) gets a temporary one.
+    On a cluster ``spark.checkpoint.dir`` names a folder that all executors share and it is used as it is; a cluster
+    session without one is an error. Only a local session (tests, a laptop) gets a temporary folder.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not named and not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="sightline-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -50,6 +53,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``df``, to be broadcast if it is counted to have at most so many rows (of a few numbers and short texts each).
+
+    For tables that were cut: their size is unknown to the optimiser, and counting them is cheap. Larger ones stay as
+    they are and are joined by shuffling.
+    """
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def range_width(spark: SparkSession) -> int:
     """Partitions of a range sort: those the session shuffles into."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
