@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sightline.session import cut
+from sightline.session import cut, small
 
 DELTA = 500.0
 #: Digests of a group that a task merges at a time.
@@ -230,7 +230,7 @@ def certified(
     probe = found.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(names)), *(F.col(f"p{_label(q)}").alias(f"__v{j}") for j, q in enumerate(percentiles)))
     rows = df.select(*(c.alias(f"__r{i}") for i, c in enumerate(keys.values())), values.cast("array<double>").alias("__values")).where("__values IS NOT NULL")
     same = [F.col(f"__r{i}").eqNullSafe(F.col(f"__k{i}")) for i in range(len(names))]
-    joined = rows.join(probe, same).select(*probe.columns, "__values")
+    joined = rows.join(small(probe), same).select(*probe.columns, "__values")
     sums = [f"__{c}{j}" for c in ("lt", "le") for j in each]
     counted = joined.mapInArrow(_counts(least, len(names), len(percentiles)), T.StructType([*probe.schema.fields[: len(names)], *(T.StructField(c, T.LongType()) for c in sums)]))
     ranks = counted.groupBy(*(f"__k{i}" for i in range(len(names)))).agg(*(F.sum(c).alias(c) for c in sums))

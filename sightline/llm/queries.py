@@ -12,7 +12,7 @@ from sightline.llm.leaks import find_leaks, removal_spans
 from sightline.llm.runs import collapse_runs
 from sightline.llm.splits import deal, linked_sets, path_keys, split_key, torn_sets
 from sightline.llm.subjects import classify, train
-from sightline.session import cut
+from sightline.session import cut, small
 from sightline.sources.tables import table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -28,7 +28,7 @@ def _run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     twice = runs.groupBy("run_id", "detector").agg(F.count("*").alias("n")).where("n > 1")
     same = lambda a, b: [a[k].eqNullSafe(b[k]) for k in ("run_id", "detector")]
     first = runs.join(twice, same(runs, twice), "left_semi").groupBy("run_id", "detector").agg(F.min(F.struct("ingested_at", "row")).alias("kept"))
-    first = cut(first.select("run_id", "detector", F.col("kept.row").alias("kept")))
+    first = small(cut(first.select("run_id", "detector", F.col("kept.row").alias("kept"))))
     once = runs.join(first, same(runs, first), "left").where("kept IS NULL OR kept = row")
     return once.select(runs["detector"], "started_at", "infer_ms")
 
