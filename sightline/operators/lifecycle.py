@@ -5,23 +5,25 @@ sighting at which enough of them lie within a window (and, if asked, the uninter
 A confirmed event notifies unless the key's last notification is too recent; such a suppressed event is promoted at the
 first later sighting that is far enough from it. Unconfirmed sessions are discarded.
 
-Sessions come from a scan that spreads a hot key over the cluster; windows run within a session only; what reaches the
-fold along a key is one row per confirmed session. All times are BIGINT microseconds.
+One range sort serves all steps. Scans spread each key over the cluster, so that a key that is never silent fills as many
+partitions as it needs; what passes between partitions is the end of a session and a few times. The sessions themselves
+come from a plain aggregation with partial sums. All times are BIGINT microseconds.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from copy import copy
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sightline.operators.ordered import sessions
+from sightline.operators.claims import Claim, claims
+from sightline.operators.ordered import changes, column, entity_of, range_sorted, rescan, summaries
 
 KEY = ["camera_id", "event_type", "subject"]
 SECOND = 1_000_000
@@ -46,74 +48,113 @@ class EventRule:
         return round(getattr(self, f"{name}_s") * SECOND)
 
 
-def event_sessions(candidates: DataFrame, rule: EventRule) -> DataFrame:
-    """The candidates (key, ts_us, seq, confidence, ...) with ``session``, the time their session began."""
-    return sessions(candidates, KEY, "ts_us", ["seq"], rule.us("close_after"))
+@dataclass
+class _Open:
+    """After a sighting: its entity and time, the start of its session, the number and start of its streak, the last times in it."""
+
+    entity: tuple
+    last: int
+    session: int
+    streak: int
+    begun: int
+    recent: np.ndarray
+
+
+class _Sightings:
+    """A scan over sorted sightings, batch after batch."""
+
+    def __init__(self, rule: EventRule, state: _Open | None = None) -> None:
+        self.state = state
+        self.close, self.window, self.duration, self.gap = (rule.us(x) for x in ("close_after", "confirm_window", "min_duration", "max_gap"))
+        self.back = rule.confirm_hits - 1
+        self.first: tuple[tuple, int] | None = None
+        self.session_broken = self.streak_broken = False
+
+    def feed(self, b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The session start and streak number of each row, and whether the rule is met there."""
+        t, state = column(b, "ts_us"), self.state
+        entity = entity_of(b, KEY, 0)
+        goes_on = state is not None and state.entity == entity
+        step = np.diff(t, prepend=state.last if goes_on else t[0])
+        fresh = changes(b, KEY) | (step >= self.close)
+        fresh[0] = not goes_on or step[0] >= self.close
+        broken = fresh | (step > self.gap) if self.duration else fresh
+        n = np.arange(len(t))
+        in_session, in_streak = (np.maximum.accumulate(np.where(x, n, -1)) for x in (fresh, broken))
+        held = state or _Open(entity, 0, 0, 0, 0, np.zeros(0, np.int64))
+        session = np.where(in_session >= 0, t[in_session], held.session)
+        begun = np.where(in_streak >= 0, t[in_streak], held.begun)
+        total = np.cumsum(broken & ~fresh)
+        streak = np.where(in_session >= 0, total - total[in_session], total + held.streak)
+        known = np.concatenate([held.recent, t])
+        start = np.where(in_streak >= 0, len(held.recent) + in_streak, 0)
+        source = len(held.recent) + n - self.back
+        meets = (source >= start) & (t - known[np.maximum(source, 0)] <= self.window)
+        if self.duration:
+            meets &= t - begun >= self.duration
+        if self.first is None:
+            self.first = entity, int(t[0])
+            self.session_broken, self.streak_broken = bool(fresh[1:].any()), bool(broken[1:].any())
+        else:
+            self.session_broken |= bool(fresh.any())
+            self.streak_broken |= bool(broken.any())
+        tail = known[max(int(start[-1]), len(known) - self.back) :] if self.back else known[:0]
+        self.state = _Open(entity_of(b, KEY, b.num_rows - 1), int(t[-1]), int(session[-1]), int(streak[-1]), int(begun[-1]), tail)
+        return session, streak, meets
+
+    def after(self, before: _Open | None) -> _Open:
+        """The state behind a partition scanned from nothing, had it begun in ``before``."""
+        out, (entity, t) = copy(self.state), self.first
+        if before is None or before.entity != entity or t - before.last >= self.close or self.session_broken:
+            return out
+        parted = bool(self.duration) and t - before.last > self.gap
+        out.session, out.streak = before.session, before.streak + parted + out.streak
+        if not parted and not self.streak_broken:
+            out.begun = before.begun
+            out.recent = np.concatenate([before.recent, out.recent])[-self.back :] if self.back else out.recent
+        return out
+
+
+def confirmations(candidates: DataFrame, rule: EventRule) -> DataFrame:
+    """The candidates (key, ts_us, seq, confidence, ...) in time order with ``session``, the time their session began,
+    ``streak`` (number of the uninterrupted streak) and ``meets`` (the rule is met). Rows without time are left out."""
+    ordered = range_sorted(candidates.where("ts_us IS NOT NULL"), [*KEY, "ts_us", "seq"])
+    schema = T.StructType([*ordered.schema.fields, T.StructField("session", T.LongType()), T.StructField("streak", T.LongType()), T.StructField("meets", T.BooleanType())])
+
+    def summarise(batches: Iterator[pa.RecordBatch]) -> _Sightings:
+        found = _Sightings(rule)
+        for b in batches:
+            found.feed(b)
+        return found
 
+    carried, state = {}, None
+    for pid, s in summaries(ordered.select(*KEY, "ts_us", "__pid"), summarise):
+        carried[pid] = state
+        state = s.after(state)
+
+    def scan(state: _Open | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _Sightings(rule, state)
+        for b in batches:
+            session, streak, meets = found.feed(b)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(session, pa.int64()), pa.array(streak, pa.int64()), pa.array(meets)], names=schema.names)
 
-def confirmations(sighted: DataFrame, rule: EventRule) -> DataFrame:
-    """The sightings of sessions with ``streak`` (number of the uninterrupted streak) and ``meets`` (the rule is met)."""
-    session = Window.partitionBy(*KEY, "session").orderBy("ts_us", "seq")
-    if rule.min_duration_s > 0:
-        broken = F.col("ts_us") - F.lag("ts_us").over(session) > rule.us("max_gap")
-        sighted = sighted.withColumn("__broken", F.coalesce(broken, F.lit(False)).cast("int"))
-        sighted = sighted.withColumn("streak", F.sum("__broken").over(session.rowsBetween(Window.unboundedPreceding, 0))).drop("__broken")
-    else:
-        sighted = sighted.withColumn("streak", F.lit(0).cast("long"))
-    streak = Window.partitionBy(*KEY, "session", "streak").orderBy("ts_us", "seq")
-    earlier = F.col("ts_us") if rule.confirm_hits == 1 else F.lag("ts_us", rule.confirm_hits - 1).over(streak)
-    meets = F.col("ts_us") - earlier <= rule.us("confirm_window")
-    if rule.min_duration_s > 0:
-        meets &= F.col("ts_us") - F.first("ts_us").over(streak) >= rule.us("min_duration")
-    return sighted.withColumn("meets", F.coalesce(meets, F.lit(False)))
+    return rescan(ordered, carried, scan, schema)
 
 
 def session_summary(confirmed: DataFrame) -> DataFrame:
-    """One row per session: its sightings, their peak (ties: the last), when it was confirmed, and the sightings after."""
-    peak = F.max(F.struct("confidence", "seq")).alias("peak")
-    one = confirmed.groupBy(*KEY, "session").agg(
-        F.max("ts_us").alias("last_us"), F.count("*").alias("hits"), peak, F.min(F.when(F.col("meets"), F.col("ts_us"))).alias("confirm_us"), F.sort_array(F.collect_list("ts_us")).alias("seen")
-    )
-    later = F.filter("seen", lambda t: t > F.col("confirm_us"))
-    return one.select(*KEY, F.col("session").alias("started_us"), "last_us", "hits", F.col("peak.confidence").alias("peak_confidence"), F.col("peak.seq").alias("peak_seq"), "confirm_us", later.alias("after"))
-
-
-def fold_cooldown(starts: np.ndarray, confirmed: np.ndarray, after: list[np.ndarray], cooldown: int) -> tuple[list[str], list[int | None]]:
-    """Along one key's confirmed sessions in order: what became of each, and when it notified."""
-    last: int | None = None
-    status, notified = [], []
-    for i in range(len(starts)):
-        t = int(confirmed[i])
-        if last is None or t - last >= cooldown:
-            status.append("CONFIRMED")
-            last = t
-            notified.append(t)
-            continue
-        k = int(np.searchsorted(after[i], last + cooldown))
-        if k < len(after[i]):
-            last = int(after[i][k])
-            status.append("PROMOTED")
-            notified.append(last)
-        else:
-            status.append("SUPPRESSED")
-            notified.append(None)
-    return status, notified
+    """One row per session: its sightings, their peak (ties: the last), when it was confirmed and, if known, notified."""
+    notified = [F.min(F.when(F.col("claimed"), F.col("ts_us"))).alias("notified_us")] if "claimed" in confirmed.columns else []
+    one = confirmed.groupBy(*KEY, "session").agg(F.max("ts_us").alias("last_us"), F.count("*").alias("hits"), F.max(F.struct("confidence", "seq")).alias("peak"), F.min(F.when(F.col("meets"), F.col("ts_us"))).alias("confirm_us"), *notified)
+    return one.select(*KEY, F.col("session").alias("started_us"), "last_us", "hits", F.col("peak.confidence").alias("peak_confidence"), F.col("peak.seq").alias("peak_seq"), "confirm_us", *(["notified_us"] if notified else []))
 
 
 def lifecycle(candidates: DataFrame, rule: EventRule) -> DataFrame:
     """The confirmed events: key, times, hits, peak, ``outcome`` and ``notified_us``; closed after the silence."""
-    summary = session_summary(confirmations(event_sessions(candidates, rule), rule)).where("confirm_us IS NOT NULL")
-    cooldown = rule.us("cooldown")
-    kept = [f for f in summary.schema.fields if f.name != "after"]
-    schema = T.StructType([*kept, T.StructField("outcome", T.StringType()), T.StructField("notified_us", T.LongType())])
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("started_us", kind="stable")
-        status, notified = fold_cooldown(pdf["started_us"].to_numpy(), pdf["confirm_us"].to_numpy(), [np.asarray(a) for a in pdf["after"]], cooldown)
-        return pdf.drop(columns="after").assign(outcome=status, notified_us=pd.array(notified, dtype="Int64"))
-
-    done = summary.groupBy(*KEY).applyInPandas(fold, schema)
-    return done.withColumn("closed_us", F.col("last_us") + rule.us("close_after"))
+    seen = confirmations(candidates, rule).select(*KEY, "ts_us", "seq", "confidence", "session", "meets", "__pid")
+    slots = claims(seen, Claim(KEY, "ts_us", "meets", rule.us("cooldown"), unit="session"))
+    done = session_summary(slots).where("confirm_us IS NOT NULL")
+    outcome = F.when(F.col("notified_us").isNull(), "SUPPRESSED").when(F.col("notified_us") == F.col("confirm_us"), "CONFIRMED").otherwise("PROMOTED")
+    return done.withColumns({"outcome": outcome, "closed_us": F.col("last_us") + rule.us("close_after")})
 
 
 def open_sessions(summary: DataFrame, now_us: int, rule: EventRule) -> DataFrame:
@@ -125,29 +166,11 @@ def cooldown_slots(df: DataFrame, keys: list[str], time_us: str, seq: str, coold
     """The rows that claim a notification slot: the first, then each one that is a cooldown away from the last that did.
 
     ``inclusive``: a distance equal to the cooldown is enough. ``success``: a BOOLEAN column; only rows in which it is
-    true move the slot, others may try again. A fold along each group of ``keys``; rows far apart are cut before it, so
-    that a group never spans a silence as long as the cooldown.
+    true move the slot, others may try again. Rows without time are left out.
     """
-    base = df.select(*keys, F.col(time_us).alias("t"), F.col(seq).alias("s"), (F.col(success) if success else F.lit(True)).alias("ok"))
-    split = sessions(base, keys, "t", ["s"], cooldown_us if inclusive else cooldown_us + 1, name="part")
-    ordered = split.repartition(*keys, "part").sortWithinPartitions(*keys, "part", "t", "s")
-    n = len(keys)
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: tuple | None = None
-        last: int | None = None
-        for b in batches:
-            take = []
-            columns = [b.column(b.schema.get_field_index(c)).to_pylist() for c in (*keys, "part", "t", "ok")]
-            for i, row in enumerate(zip(*columns)):
-                if row[: n + 1] != group:
-                    group, last = row[: n + 1], None
-                t, ok = row[n + 1], row[n + 2]
-                if last is None or (t - last >= cooldown_us if inclusive else t - last > cooldown_us):
-                    take.append(i)
-                    if ok:
-                        last = t
-            yield b.select([*keys, "t", "s"]).take(pa.array(take, pa.int64()))
-
-    schema = T.StructType([*(split.schema[k] for k in keys), T.StructField("t", T.LongType()), T.StructField("s", T.LongType())])
-    return ordered.mapInArrow(fold, schema).select(*keys, F.col("t").alias(time_us), F.col("s").alias(seq))
+    moves = F.coalesce(F.col(success), F.lit(False)) if success else F.lit(True)
+    base = df.select(*keys, F.col(time_us).alias("t"), F.col(seq).alias("s"), moves.alias("ok")).where("t IS NOT NULL")
+    found = claims(range_sorted(base, [*keys, "t", "s"]), Claim(keys, "t", "ok", cooldown_us, inclusive))
+    apart = F.col("t") - F.col("since")
+    free = F.col("since").isNull() | (apart >= cooldown_us if inclusive else apart > cooldown_us)
+    return found.where(free).select(*keys, F.col("t").alias(time_us), F.col("s").alias(seq))

@@ -7,7 +7,9 @@ row per partition) are combined on the driver, and a second scan starts from the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,7 @@ from pyspark.sql import types as T
 from sightline.session import cut, range_width
 
 
-def _changes(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
+def changes(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
     out = np.zeros(batch.num_rows, dtype=bool)
     for k in keys:
         codes = batch.column(batch.schema.get_field_index(k)).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
@@ -26,6 +28,48 @@ def _changes(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
     return out
 
 
+def range_sorted(df: DataFrame, order: list[str]) -> DataFrame:
+    """``df`` range-sorted by ``order`` and cut, with the number of each row's partition as ``__pid``."""
+    ordered = df.repartitionByRange(range_width(df.sparkSession), *order).sortWithinPartitions(*order)
+    return cut(ordered.withColumn("__pid", F.spark_partition_id()))
+
+
+def pid_of(b: pa.RecordBatch) -> int:
+    return b.column(b.schema.get_field_index("__pid"))[0].as_py()
+
+
+def column(b: pa.RecordBatch, name: str) -> np.ndarray:
+    return b.column(b.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
+
+
+def entity_of(b: pa.RecordBatch, keys: list[str], row: int) -> tuple:
+    return tuple(b.column(b.schema.get_field_index(k))[row].as_py() for k in keys)
+
+
+def summaries(ordered: DataFrame, summarise: Callable[[Iterator[pa.RecordBatch]], object]) -> list[tuple[int, object]]:
+    """What ``summarise`` makes of each partition that isn't empty, in their order: one small object per partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        full = (b for b in batches if b.num_rows)
+        if (first := next(full, None)) is not None:
+            made = pickle.dumps(summarise(chain([first], full)))
+            yield pa.RecordBatch.from_arrays([pa.array([pid_of(first)], pa.int64()), pa.array([made], pa.binary())], names=["pid", "made"])
+
+    made = ordered.mapInArrow(run, "pid long, made binary").collect()
+    return [(r["pid"], pickle.loads(bytes(r["made"]))) for r in sorted(made, key=lambda r: r["pid"])]
+
+
+def rescan(ordered: DataFrame, carried: dict, scan: Callable[[object, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """The partitions once more, each from the state carried into it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        full = (b for b in batches if b.num_rows)
+        if (first := next(full, None)) is not None:
+            yield from scan(carried.get(pid_of(first)), chain([first], full))
+
+    return ordered.mapInArrow(run, schema)
+
+
 class _Sessions:
     """state: (entity values, time of its last row, start of its open session)."""
 
@@ -45,7 +89,7 @@ class _Sessions:
         step = np.empty(len(t), dtype=np.int64)
         step[1:] = t[1:] - t[:-1]
         step[0] = t[0] - self.state[1] if goes_on else 0
-        fresh = _changes(b, self.keys) | (step > self.gap if self.touching else step >= self.gap)
+        fresh = changes(b, self.keys) | (step > self.gap if self.touching else step >= self.gap)
         fresh[0] = not goes_on or (step[0] > self.gap if self.touching else step[0] >= self.gap)
         at = np.maximum.accumulate(np.where(fresh, np.arange(len(t)), -1))
         start = np.where(at >= 0, t[np.maximum(at, 0)], self.state[2] if self.state else 0)
@@ -116,7 +160,7 @@ class _Last:
         known = np.asarray(column.is_valid())
         values = column.fill_null(0).to_numpy(zero_copy_only=False)
         entity, last_entity = (tuple(b.column(b.schema.get_field_index(k))[i].as_py() for k in self.keys) for i in (0, n - 1))
-        change = _changes(b, self.keys)
+        change = changes(b, self.keys)
         goes_on = self.state is not None and self.state[0] == entity
         self.entities += int(change.sum()) + (not goes_on)
         begin = np.maximum.accumulate(np.where(change, np.arange(n), 0))

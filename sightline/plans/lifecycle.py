@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.operators.lifecycle import EventRule, confirmations, cooldown_slots, event_sessions, lifecycle, open_sessions, session_summary
+from sightline.operators.lifecycle import EventRule, confirmations, cooldown_slots, lifecycle, open_sessions, session_summary
 from sightline.sources.tables import table
 
 BASIC = EventRule(confirm_hits=3, confirm_window_s=7200, close_after_s=7200, cooldown_s=86400)
@@ -43,12 +43,12 @@ _SESSION = ["camera_id", "event_type", "started_us", "last_us", "hits", "peak_co
 
 
 def event_sessions_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return session_summary(confirmations(event_sessions(sightings(spark, sf_dir), BASIC), BASIC)).select(*_SESSION)
+    return session_summary(confirmations(sightings(spark, sf_dir), BASIC)).select(*_SESSION)
 
 
 def _confirm(rule: EventRule):  # noqa: ANN202
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return session_summary(confirmations(event_sessions(sightings(spark, sf_dir), rule), rule)).select("camera_id", "event_type", "started_us", "confirm_us")
+        return session_summary(confirmations(sightings(spark, sf_dir), rule)).select("camera_id", "event_type", "started_us", "confirm_us")
 
     return query
 
@@ -81,7 +81,7 @@ def open_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sessions that are open at the middle of the table's time span."""
     base = sightings(spark, sf_dir)
     now = base.agg(F.expr("(min(ts_us) + max(ts_us)) div 2")).first()[0]
-    summary = session_summary(confirmations(event_sessions(base, BASIC), BASIC))
+    summary = session_summary(confirmations(base, BASIC))
     return open_sessions(summary, now or 0, BASIC).select(*_SESSION)
 
 

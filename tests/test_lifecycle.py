@@ -128,6 +128,36 @@ def test_cooldown_slots(spark):
     assert pick(success="ok") == [0, 5, 19, 40]
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_one_key_over_all_partitions(spark, seed):
+    rng, t, rows = random.Random(seed), 0, []
+    rule = EventRule(rng.choice([1, 2, 3, 6]), 4, 10, rng.choice([5, 30, 90]), *rng.choice([(0,), (5, 1.5)]))
+    for i in range(500):
+        t += rng.choice([0, S // 2, S, S, 2 * S, 2 * S, *([12 * S] if seed % 2 else [])])
+        rows.append(("hot", t, i, rng.randint(0, 9) / 10))
+    df = spark.createDataFrame([(k, "t", None, t, i, c) for k, t, i, c in rows], "camera_id string, event_type string, subject string, ts_us long, seq long, confidence double")
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for width in ("3", "40"):
+            spark.conf.set("spark.sql.shuffle.partitions", width)
+            got = sorted(repr(tuple(r[c] for c in KEPT)) for r in lifecycle(df, rule).collect())
+            assert got == sorted(repr(tuple(e[c] for c in KEPT)) for e in by_state(rule, [(t, i, c) for _, t, i, c in rows]))
+            slots = cooldown_slots(df.withColumn("ok", F.col("seq") % 3 != 0), ["camera_id"], "ts_us", "seq", 7 * S, inclusive=bool(seed % 2), success="ok")
+            last, want = None, []
+            for _, t, i, _ in rows:
+                if last is None or (t - last >= 7 * S if seed % 2 else t - last > 7 * S):
+                    want.append(i)
+                    last = t if i % 3 else last
+            assert sorted(r.seq for r in slots.collect()) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
+def test_empty_tables(spark):
+    df = spark.createDataFrame([], "camera_id string, event_type string, subject string, ts_us long, seq long, confidence double")
+    assert lifecycle(df, C1).count() == 0 and cooldown_slots(df, ["camera_id"], "ts_us", "seq", 5).count() == 0
+
+
 def test_rule_is_checked():
     with pytest.raises(ValueError):
         EventRule(confirm_hits=0)
