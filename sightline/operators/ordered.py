@@ -8,7 +8,7 @@ row per partition) are combined on the driver, and a second scan starts from the
 from __future__ import annotations
 
 import pickle
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from itertools import chain
 
 import numpy as np
@@ -28,9 +28,12 @@ def changes(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
     return out
 
 
-def range_sorted(df: DataFrame, order: list[str]) -> DataFrame:
-    """``df`` range-sorted by ``order`` and cut, with the number of each row's partition as ``__pid``."""
-    ordered = df.repartitionByRange(range_width(df.sparkSession), *order).sortWithinPartitions(*order)
+def range_sorted(df: DataFrame, order: list[str], ties: Sequence[str] = ()) -> DataFrame:
+    """``df`` range-sorted by ``order`` and cut, with the number of each row's partition as ``__pid``.
+
+    Rows that are equal in ``order`` stand in one partition, sorted by ``ties``.
+    """
+    ordered = df.repartitionByRange(range_width(df.sparkSession), *order).sortWithinPartitions(*order, *ties)
     return cut(ordered.withColumn("__pid", F.spark_partition_id()))
 
 

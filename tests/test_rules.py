@@ -1,6 +1,6 @@
 """Rules on detections, zones, poses, blows, suppression and near-duplicates on small hand-made fixtures."""
 
-
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +13,7 @@ from sightline.operators.evaluate import clip_scores, gate_status, threshold_swe
 from sightline.operators.nms import suppress
 from sightline.operators.policies import LabelRule, climbing, drop_overlapped, label_match, out_of_area, zone_hits
 from sightline.operators.report import Route, explain, funnel, targets
-from sightline.operators.tracking import FightRule, Tracker, fights
+from sightline.operators.tracking import Crowd, FightRule, fights, step, tracks
 
 BOX = "struct<x1:double,y1:double,x2:double,y2:double>"
 DET = f"det_id long, camera_id string, frame_index long, ts double, detector string, module_order int, det_idx int, label string, confidence double, bbox {BOX}, keypoints array<struct<x:double,y:double,confidence:double>>, frame_width int, frame_height int"
@@ -121,6 +121,34 @@ def scene(wrist, frames=20, left=100, right=310, conf=0.9, people=2):
 FIGHT = f"det_id long, camera_id string, frame_index long, t_ms long, det_idx int, label string, confidence double, bbox {BOX}, keypoints array<struct<x:double,y:double,confidence:double>>"
 
 
+def test_swings_against_a_loop():
+    """The wrist table against keeping a list for each person."""
+    import numpy as np
+
+    rule = FightRule(samples=7)
+    for seed in range(20):
+        rng = np.random.default_rng(seed)
+        crowd, kept, t = Crowd.nobody(rule.samples), [], 0.0
+        for _ in range(60):
+            t = round(t + rng.choice([0.05, 0.1, 0.3, 0.6]), 3)
+            place = np.where(rng.random((1, 2, 1)) < 0.7, rng.integers(0, 300, (1, 2, 2)).astype(float), np.nan)
+            crowd, seen = step(crowd, rule, np.array([[0.0, 0, 100, 200]]), place, t)
+            kept = [k for k in kept if t - k[0] <= 1.0]
+            now = {w: place[0, w] for w in (0, 1) if not np.isnan(place[0, w, 0])}
+            old = [next((k[2] for k in kept[::-1] if k[1] == w), None) for w in (0, 1)]
+            if len(now) == 2 and old[0] is not None and old[1] is not None:
+                far = lambda a, b: np.hypot(*(now[a] - old[b]))  # noqa: B023, E731
+                if far(0, 1) + far(1, 0) < far(0, 0) + far(1, 1):
+                    now = {0: now[1], 1: now[0]}
+            want = 0.0
+            for w, xy in sorted(now.items()):
+                kept = [*kept, (t, w, xy)][-rule.samples :]
+            for w, xy in now.items():
+                if ref := [k for k in kept if k[1] == w and t - k[0] >= 0.25]:
+                    want = max(want, np.hypot(*(xy - ref[-1][2])) / 200 / (t - ref[-1][0]))
+            assert np.isclose(seen.speed[0], want)
+
+
 def swing(f):
     return 250 if f % 8 < 4 else 450
 
@@ -138,16 +166,44 @@ def test_blows(spark):
 def test_tracker():
     import numpy as np
 
-    t = Tracker(FightRule())
-    box = lambda x: [x, 0, x + 100, 100]
-    first, _ = t.update(np.array([box(0), box(500)], float), 0.0)
-    again, unsure = t.update(np.array([box(505), box(5)], float), 0.1)
-    assert [p.number for p in first] == [1, 2] and [p.number for p in again] == [2, 1] and unsure == [False, False]
-    late, _ = t.update(np.array([box(5)], float), 1.2)
-    assert late[0].number == 3
-    close = Tracker(FightRule())
-    close.update(np.array([box(0), box(20)], float), 0.0)
-    assert close.update(np.array([box(10), box(12)], float), 0.1)[1] == [True, True]
+    rule, none = FightRule(), np.full((2, 2, 2), np.nan)
+    box = lambda *xs: np.array([[x, 0, x + 100, 100] for x in xs], float)
+    crowd, first = step(Crowd.nobody(60), rule, box(0, 500), none, 0.0)
+    crowd, again = step(crowd, rule, box(505, 5), none, 0.1)
+    assert first.track.tolist() == [1, 2] and again.track.tolist() == [2, 1] and again.unsure.tolist() == [False, False]
+    _, late = step(crowd, rule, box(5), none[:1], 1.2)
+    assert late.track.tolist() == [3]
+    crowd, _ = step(Crowd.nobody(60), rule, box(0, 20), none, 0.0)
+    assert step(crowd, rule, box(10, 12), none, 0.1)[1].unsure.tolist() == [True, True]
+
+
+def walk(seed, frames=240, people=5):
+    """People wandering, vanishing and coming back in view of one camera that is never empty for long."""
+    rng, rows, t = random.Random(seed), [], 0
+    at = [rng.uniform(0, 600) for _ in range(people)]
+    for f in range(frames):
+        t += rng.choice([40, 100, 100, 250, *([1500] if seed % 2 and f % 50 == 0 else [])])
+        for p in range(people):
+            at[p] += rng.uniform(-25, 25)
+            if rng.random() < 0.9:
+                x = round(at[p], 1)
+                k = [(x + 100, 200.0, 0.9)] * 17
+                k[9], k[10] = ((x + rng.uniform(-60, 260), 250.0, rng.choice([0.9, 0.9, 0.1])) for _ in range(2))
+                rows.append((len(rows), "c", f, t, p, "person", 0.9, (x, 100.0, x + 200, 500.0), k))
+    return rows
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_busy_camera_over_all_partitions(spark, seed):
+    df = spark.createDataFrame(walk(seed), FIGHT).repartition(3)
+    was, seen = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for width in ("1", "5", "9"):
+            spark.conf.set("spark.sql.shuffle.partitions", width)
+            seen.append([sorted(map(repr, of(df).collect())) for of in (tracks, fights)])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert seen[0] == seen[1] == seen[2] and all(seen[0])
 
 
 def test_suppression(spark):
