@@ -48,9 +48,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder, keeping its partitions, and go on from there."""
+    """Write ``df`` to the shared checkpoint folder, keeping its partitions, and go on from there.
+
+    What the optimiser derived about ``df``'s values is left behind: over the rounds of an iteration such constraints
+    multiply, until planning takes longer than the work.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    made = df.checkpoint(eager=True)
+    jdf = made._jdf
+    return DataFrame(jdf.sparkSession().internalCreateDataFrame(jdf.queryExecution().toRdd(), jdf.schema(), False), df.sparkSession)
 
 
 def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
