@@ -10,7 +10,7 @@ from sightline.llm.bpe import encode_texts
 from sightline.llm.digests import certified, digests, merge_digests
 from sightline.llm.leaks import find_leaks, removal_spans
 from sightline.llm.runs import collapse_runs
-from sightline.llm.splits import deal, linked_sets, path_keys, split_key, torn_sets
+from sightline.llm.splits import deal, linked_sets, path_keys, record_forest, split_key, torn_sets
 from sightline.llm.subjects import classify, train
 from sightline.session import cut, small
 from sightline.sources.tables import table
@@ -105,6 +105,11 @@ def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deal(_clip_sets(spark, sf_dir)).withColumnRenamed("id", "clip_id")
 
 
+def p5_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spanning forest that holds the sets together: clips and the recordings and performers they hang on."""
+    return record_forest(table(spark, sf_dir, "clips"), F.col("clip_id"), path_keys(F.col("path"))).select(F.col("id").alias("clip_id"), "key")
+
+
 P5_SQL = """
 WITH RECURSIVE keys AS (
   SELECT DISTINCT clip_id, regexp_replace(regexp_replace(k, '[ _-]', '', 'g'), '^(rec|act)0+([0-9])', '\\1\\2') AS k
@@ -155,6 +160,7 @@ def queries() -> dict:
         "p4_near": p4_near,
         "p5_found": p5_found,
         "p5_splits": p5_splits,
+        "p5_forest": p5_forest,
         "p6_ids": p6_ids,
         "p7_found": p7_found,
         "p7_spans": p7_spans,

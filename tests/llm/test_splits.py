@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from sightline.llm.splits import SHARES, deal, key_links, linked_sets, path_keys, pattern, place_large, spanning_forest, split_key, torn_sets
+from sightline.llm.splits import SHARES, apportion, deal, linked_sets, path_keys, record_forest, split_key, spread, torn_sets
 
 
 def union_find(rows):
@@ -42,13 +42,15 @@ def test_sets(spark):
 
 def test_forest_spans(spark):
     rows = made(2, 120)
-    members = spark.createDataFrame([(i, k) for i, keys in rows for k in keys or () if k], "id long, key string").distinct()
-    forest, roots = spanning_forest(key_links(members))
-    edges = [(r.a, r.b) for r in forest.collect()]
-    got = {r.id: r.root for r in roots.collect()}
-    assert len(edges) == len(got) - len(set(got.values()))  # a tree per root, no cycle
-    again = union_find([(a, None) for a in got] + [(a, [e]) for e, (a, b) in enumerate(edges)] + [(b, [e]) for e, (a, b) in enumerate(edges)])
-    assert len(set(again.values())) == len(set(got.values()))
+    df = spark.createDataFrame(rows, "id long, keys array<string>").repartition(4)
+    edges = [(r.id, r.key) for r in record_forest(df, F.col("id"), F.col("keys")).collect()]
+    member = {(i, k) for i, keys in rows for k in keys or () if k is not None}
+    assert len(set(edges)) == len(edges) and set(edges) <= member
+    sets = union_find(rows)
+    nodes = {i for i, _ in member} | {k for _, k in member}
+    assert len(edges) == len(nodes) - len({sets[i] for i, _ in member})  # a tree per set, no cycle
+    again = union_find([(i, [k]) for i, k in edges])
+    assert {i: s for i, s in sets.items() if i in again} == again
 
 
 def test_torn(spark):
@@ -67,32 +69,40 @@ def test_paths_and_splits(spark):
     assert [r[0] for r in names.select(split_key(F.col("s"))).collect()] == ["train", "val", "val", "val", "test", None, None, None, "dev"]
 
 
+def shares(rows):
+    n = len(rows)
+    return {k: c / n for k, c in Counter(r.split for r in rows).items()}
+
+
 def test_deal(spark):
     rng = random.Random(4)
-    rows, n = [], 0
-    for s in range(3000):
-        for _ in range(rng.choice([1, 1, 1, 2, 3, 5, 9]) if s else 1500):
-            rows.append((n, s))
-            n += 1
-    sets = spark.createDataFrame(rows, "id long, set_id long").repartition(6)
-    got = deal(sets).collect()
-    assert len(got) == n
-    by = defaultdict(set)
-    for r in got:
-        by[r.set_id].add(r.split)
-    assert all(len(v) == 1 for v in by.values())
-    share = {k: c / n for k, c in Counter(r.split for r in got).items()}
-    assert abs(share["train"] - 0.8) < 0.04 and abs(share["validation"] - 0.1) < 0.03 and abs(share["test"] - 0.1) < 0.03
-    assert sorted((r.id, r.split) for r in deal(sets.repartition(2)).collect()) == sorted((r.id, r.split) for r in got)
-
-
-def test_pattern():
-    for i in range(0, 100, 10):
-        assert Counter(pattern(SHARES)[i : i + 10]) == {"train": 8, "validation": 1, "test": 1}
-    assert Counter(pattern({"train": 460, "validation": 100, "test": 100})) == {"train": 70, "validation": 15, "test": 15}
-    assert set(pattern({"train": 1.0, "validation": 0.0, "test": -5.0})) == {"train"} and len(pattern({"train": 0.0, "validation": 0.0, "test": 0.0})) == 100
-    placed, room = place_large([(1, 500), (2, 400), (3, 30)], 1000)
-    assert placed == {1: "train", 2: "train", 3: "validation"} and room["validation"] == 70
+    for large in ([], [1500], [600] * 9, [300] * 4 + [40] * 90):
+        sizes = large + [rng.choice([1, 1, 1, 2, 3, 5, 9]) for _ in range(1500)]
+        rows = [(i, s) for i, s in enumerate(s for s, n in enumerate(sizes) for _ in range(n))]
+        sets = spark.createDataFrame(rows, "id long, set_id long").repartition(6)
+        got = deal(sets).collect()
+        assert len(got) == len(rows)
+        by = defaultdict(set)
+        for r in got:
+            by[r.set_id].add(r.split)
+        assert all(len(v) == 1 for v in by.values())
+        share = shares(got)
+        if len(large) != 9:
+            assert all(abs(share[k] - v) < 0.005 for k, v in SHARES.items()), share
+        else:  # nine sets of a fourteenth each
+            assert abs(share["train"] - 0.8) < 0.05
+        assert sorted((r.id, r.split) for r in deal(sets.repartition(2)).collect()) == sorted((r.id, r.split) for r in got)
+
+
+def test_apportion_and_spread(spark):
+    assert apportion(9, {"train": 80, "validation": 10, "test": 10}) == {"train": 7, "validation": 1, "test": 1}
+    assert apportion(1, {"train": 8, "validation": 1, "test": 1}) == {"train": 1, "validation": 0, "test": 0}
+    assert apportion(5, {"train": -3, "validation": 0, "test": 0}) == {"train": 5, "validation": 0, "test": 0}
+    for n, counts in ((100, {"train": 80, "validation": 10, "test": 10}), (7, {"train": 3, "validation": 2, "test": 2}), (3, {"train": 0, "validation": 0, "test": 3})):
+        got = [r[0] for r in spark.range(n).select(spread(F.col("id"), n, counts)).collect()]
+        assert Counter(got) == {k: v for k, v in counts.items() if v}
+        if n == 100:
+            assert all(15 <= Counter(got[i : i + 20])["train"] <= 17 for i in range(0, 100, 20))
 
 
 def test_empty(spark):
