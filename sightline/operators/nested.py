@@ -18,10 +18,12 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,7 +37,7 @@ for _byte, _k in zip(b"{}[]:,", range(6)):
 _SPACE = np.isin(np.arange(256), list(b" \t\n\r"))
 _HEX = np.isin(np.arange(256), list(b"0123456789abcdefABCDEF"))
 _ESCAPES = np.isin(np.arange(256), list(b'"\\/bfnrtu'))
-_SCALAR = re.compile(rb"^(?:true|false|null|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)$", re.M)
+_WRONG_SCALAR = re.compile(rb"^(?!(?:true|false|null|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)$).+$", re.M)
 
 
 class Index:
@@ -89,11 +91,9 @@ class Index:
         plain = ~inside & (_KIND[b] == _NONE) & ~_SPACE[b] & (b != 34)
         starts = np.flatnonzero(plain & ~np.concatenate([[False], plain[:-1]]))
         after = np.flatnonzero(~plain & np.concatenate([[False], plain[:-1]]))
-        text = np.where(plain, b, 10)[np.flatnonzero(plain | np.concatenate([[False], plain[:-1]]))].tobytes()
-        if len(_SCALAR.findall(text)) != len(starts):
-            for s, e in zip(starts, after):
-                if not _SCALAR.fullmatch(self.buf[s:e]):
-                    self.bad[self.record(s)] = True
+        kept = np.flatnonzero(plain | np.concatenate([[False], plain[:-1]]))
+        wrong = [m.start() for m in _WRONG_SCALAR.finditer(np.where(plain, b, 10)[kept].tobytes())]
+        self.bad[self.record(kept[wrong])] = True
         marks = np.flatnonzero(~inside & (_KIND[b] != _NONE))
         at = np.concatenate([marks, opens, starts])
         kind = np.concatenate([_KIND[b[marks]], np.full(len(opens), _STR, np.int8), np.full(len(starts), _VAL, np.int8)])
@@ -187,52 +187,109 @@ class Index:
         return out
 
 
-class _Root:
-    """Where the value of a text stands: the row it belongs to, its path, the case around it, and what it is there."""
-
-    __slots__ = ("element", "lone", "parent", "path", "row")
-
-    def __init__(self, row: int, path: str = "", parent: str = "", element: bool = False, lone: bool = False) -> None:
-        self.row, self.path, self.parent, self.element, self.lone = row, path, parent, element, lone
-
-
-def _index_round(texts: list[bytes], roots: list[_Root], lone: frozenset[str], emit, nested: list) -> None:
-    """Emit the cases of the texts; add embedded texts to ``nested``."""
+@dataclass
+class _Roots:
+    """Where the values of texts stand: the rows they belong to, their paths, the cases around them, and what they are there."""
+
+    row: np.ndarray
+    path: pa.Array
+    parent: pa.Array
+    element: np.ndarray
+    lone: np.ndarray
+
+    @classmethod
+    def of(cls, rows: Iterable[int]) -> _Roots:
+        row = np.fromiter(rows, dtype=np.int64)
+        none, blank = np.zeros(len(row), dtype=bool), pa.array([""] * len(row), pa.large_string())
+        return cls(row, blank, blank, none, none)
+
+
+def _names(ix: Index, keys: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The different names among key tokens, and the number of each token's name."""
+    at, length = ix.at[keys] + 1, ix.end[keys] - ix.at[keys] - 1
+    slash = np.flatnonzero(ix.b == 92)
+    escaped = np.searchsorted(slash, ix.end[keys]) > np.searchsorted(slash, at)
+    short = (length <= 16) & ~escaped
+    code = np.empty(len(keys), dtype=np.int64)
+    width = np.arange(16)
+    held = np.where(width < length[short, None], ix.b[np.minimum(at[short, None] + width, len(ix.b) - 1)], 0).astype(np.uint8)
+    words = np.ascontiguousarray(held).view(np.uint64)
+    # names of up to 16 bytes without NULs are told apart by these two numbers
+    order = np.lexsort((words[:, 1], words[:, 0]))
+    words = words[order]
+    fresh = np.concatenate([[True], (words[1:] != words[:-1]).any(axis=1)])[: len(words)]
+    number = np.cumsum(fresh) - 1
+    code[np.flatnonzero(short)[order]] = number
+    names = [ix.text(k) for k in keys[np.flatnonzero(short)[order[fresh]]].tolist()]
+    known: dict[str, int] = {}
+    for i in np.flatnonzero(~short).tolist():
+        name = ix.text(int(keys[i]))
+        if name not in known:
+            known[name] = len(names)
+            names.append(name)
+        code[i] = known[name]
+    return pa.array(names, pa.large_string()), code
+
+
+def _text(s: str) -> pa.Scalar:
+    return pa.scalar(s, pa.large_string())
+
+
+def _index_round(texts: list[bytes], roots: _Roots, lone: frozenset[str], emit: Callable[[np.ndarray, pa.Array, pa.Array, Index, np.ndarray], None]) -> tuple[list[bytes], _Roots | None]:
+    """Emit the cases of the texts, one level of nesting after another; give the texts embedded in them and their places."""
     ix = Index(texts)
-    kind, inside, place, rec = ix.kind.tolist(), ix.inside.tolist(), ix.place.tolist(), ix.rec.tolist()
-    dead = ix.overridden()
     values = np.flatnonzero(~ix.bad[ix.rec] & (ix.opening | ((ix.kind == _STR) & ~ix.is_key & np.isin(ix.b[np.minimum(ix.at + 1, len(ix.b) - 1)], list(b"{[ \\")))))
-    ends = {}
-    closers = np.flatnonzero(ix.closing & ~ix.bad[ix.rec])
-    for c, o in zip(ix.end[closers].tolist(), ix.inside[closers].tolist()):
-        ends[o] = c
-    path: dict[int, tuple[str, str]] = {}  # of an open container: its path, the nearest case at or above it
-    for t in values.tolist():
-        at = inside[t]
-        if t in dead or (at >= 0 and at not in path):
-            continue
-        root = roots[rec[t]]
-        element = single = False
-        if at < 0:
-            p, case, element, single = root.path, root.parent, root.element, root.lone
+    dead = np.zeros(len(ix.kind), dtype=bool)
+    dead[list(ix.overridden())] = True
+    level, slot = ix.level[values], np.full(len(ix.kind), -1)
+    inner: list[tuple[list[bytes], _Roots]] = []
+    above: tuple[pa.Array, pa.Array] | None = None
+    for depth in range(int(level.max(initial=-1)) + 1):
+        own = values[level == depth]
+        own = own[~dead[own]]
+        if depth:
+            own = own[slot[ix.inside[own]] >= 0]
+        if not len(own):
+            break
+        if depth == 0:
+            rec = pa.array(ix.rec[own])
+            path, case = roots.path.take(rec), roots.parent.take(rec)
+            element, single = roots.element[ix.rec[own]], roots.lone[ix.rec[own]]
         else:
-            p, case = path[at]
-            if kind[at] == _ARR:
-                p, element = f"{p}[{place[t]}]", True
-            else:
-                name = ix.text(t - 2)
-                p, single = f"{p}.{name}" if p else name, name in lone
-        if kind[t] == _STR:
-            inner = ix.text(t).strip(" \t\n\r")
-            if inner[:1] in ("{", "[") and inner[-1:] in ("}", "]"):
-                nested.append((inner.encode("utf-8", "replace"), _Root(root.row, p, case, element, single)))
-            continue
-        if kind[t] == _OBJ and (element or single):
-            if not element:
-                p += "[0]"
-            emit(root.row, p, case, ix.buf, ix.at[t], ends[t])
-            case = p
-        path[t] = (p, case)
+            base = pa.array(slot[ix.inside[own]])
+            path, case = above[0].take(base), above[1].take(base)
+            element = ix.kind[ix.inside[own]] == _ARR
+            single = np.zeros(len(own), dtype=bool)
+            member = np.flatnonzero(~element)
+            names, code = _names(ix, own[member] - 2)
+            single[member] = np.isin(code, [i for i, n in enumerate(names.to_pylist()) if n in lone])
+            last = np.zeros(len(own), dtype=np.int64)
+            last[member] = code
+            index = pc.binary_join_element_wise(path, _text("["), pa.array(ix.place[own]).cast(pa.large_string()), _text("]"), _text(""))
+            name = names.take(pa.array(last)) if len(names) else pa.nulls(len(own), pa.large_string())
+            below = pc.if_else(pc.equal(path, _text("")), name, pc.binary_join_element_wise(path, name, _text(".")))
+            path = pc.if_else(pa.array(element), index, below)
+        text = ix.kind[own] == _STR
+        if text.any():
+            some = np.flatnonzero(text)
+            found = [ix.text(t).strip(" \t\n\r") for t in own[some].tolist()]
+            good = [i for i, v in enumerate(found) if v[:1] in ("{", "[") and v[-1:] in ("}", "]")]
+            some = some[good]
+            at = pa.array(some)
+            inner.append(([found[i].encode("utf-8", "replace") for i in good], _Roots(roots.row[ix.rec[own[some]]], path.take(at), case.take(at), element[some], single[some])))
+        cases = (ix.kind[own] == _OBJ) & (element | single)
+        if (cases & ~element).any():
+            path = pc.if_else(pa.array(cases & ~element), pc.binary_join_element_wise(path, _text("[0]"), _text("")), path)
+        hit = pa.array(np.flatnonzero(cases))
+        emit(roots.row[ix.rec[own[cases]]], path.take(hit), case.take(hit), ix, own[cases])
+        above = path, pc.if_else(pa.array(cases), path, case)
+        slot[own[~text]] = np.flatnonzero(~text)
+    texts = [t for part, _ in inner for t in part]
+    if not texts:
+        return [], None
+    parts = [r for _, r in inner]
+    join = lambda k: pa.concat_arrays([getattr(r, k) for r in parts])
+    return texts, _Roots(np.concatenate([r.row for r in parts]), join("path"), join("parent"), np.concatenate([r.element for r in parts]), np.concatenate([r.lone for r in parts]))
 
 
 def _chunks(column: pa.Array) -> Iterator[tuple[list[bytes], list[int]]]:
@@ -250,24 +307,27 @@ def _chunks(column: pa.Array) -> Iterator[tuple[list[bytes], list[int]]]:
         yield texts, rows
 
 
-def nested_rows(texts: list[bytes], rows: Iterable[int], lone: frozenset[str], with_record: bool = False) -> dict[str, list]:
+def nested_rows(texts: list[bytes], rows: Iterable[int], lone: frozenset[str], with_record: bool = False) -> dict[str, list | np.ndarray | pa.Array]:
     """Rows of one chunk: for each case the input row, node, parent and, if asked for, the object's JSON text."""
-    out: dict[str, list] = {"row": [], "node": [], "parent": [], "record": []}
+    row: list[np.ndarray] = []
+    node, parent, record = [], [], []
 
-    def emit(row: int, node: str, parent: str, buf: bytes, start: int, end: int) -> None:
-        out["row"].append(row)
-        out["node"].append(node)
-        out["parent"].append(parent)
+    def emit(of: np.ndarray, nodes: pa.Array, parents: pa.Array, ix: Index, tokens: np.ndarray) -> None:
+        row.append(of)
+        node.append(nodes)
+        parent.append(parents)
         if with_record:
-            out["record"].append(buf[start:end].decode("utf-8", "replace"))
+            ends = np.zeros(len(ix.kind), dtype=np.int64)
+            closers = np.flatnonzero(ix.closing)
+            ends[ix.inside[closers]] = ix.end[closers]
+            record.extend(ix.buf[a:b].decode("utf-8", "replace") for a, b in zip(ix.at[tokens].tolist(), ends[tokens].tolist()))
 
-    roots = [_Root(r) for r in rows]
+    roots = _Roots.of(rows)
     # a text that is one string may itself be the JSON text of an object or array; the index treats it as any value
     while texts:
-        nested: list[tuple[bytes, _Root]] = []
-        _index_round(texts, roots, lone, emit, nested)
-        texts, roots = [t for t, _ in nested], [r for _, r in nested]
-    return out
+        texts, roots = _index_round(texts, roots, lone, emit)
+    strings = lambda parts: pa.concat_arrays(parts) if parts else pa.array([], pa.large_string())
+    return {"row": np.concatenate(row) if row else np.zeros(0, np.int64), "node": strings(node), "parent": strings(parent), "record": record}
 
 
 def flatten_json(df: DataFrame, id_col: str, json_col: str, lone_fields: Iterable[str] = (), with_record: bool = False) -> DataFrame:
@@ -289,9 +349,9 @@ def flatten_json(df: DataFrame, id_col: str, json_col: str, lone_fields: Iterabl
             ids = b.column(0)
             for texts, rows in _chunks(b.column(1)):
                 found = nested_rows(texts, rows, lone, with_record)
-                cols = [ids.take(pa.array(found["row"], pa.int64())), pa.array(found["node"], pa.string()), pa.array(found["parent"], pa.string())]
+                cols = [ids.take(pa.array(found["row"], pa.int64())), found["node"].cast(pa.string()), found["parent"].cast(pa.string())]
                 if with_record:
-                    cols += [pa.array([re.sub(r"\[\d+\]", "[]", p) for p in found["node"]], pa.string()), pa.array(found["record"], pa.string())]
+                    cols += [pc.replace_substring_regex(cols[1], r"\[\d+\]", "[]"), pa.array(found["record"], pa.string())]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return source.mapInArrow(run, T.StructType(fields))

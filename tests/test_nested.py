@@ -52,7 +52,7 @@ def brute(text):
 def found(texts):
     got = nested_rows([t.encode() for t in texts], range(len(texts)), LONE)
     by = {i: [] for i in range(len(texts))}
-    for r, n, p in zip(got["row"], got["node"], got["parent"]):
+    for r, n, p in zip(got["row"].tolist(), got["node"].to_pylist(), got["parent"].to_pylist()):
         by[r].append((n, p))
     return [sorted(v) for v in by.values()]
 
