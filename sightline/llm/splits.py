@@ -141,8 +141,8 @@ def torn_sets(sets: DataFrame, splits: DataFrame) -> DataFrame:
 def apportion(n: int, room: dict[str, float]) -> dict[str, int]:
     """``n`` sets in proportion to the room, rounded to whole ones by the largest remainders."""
     room = {k: max(0.0, v) for k, v in room.items()}
-    total = sum(room.values()) or 1.0
-    exact = {k: n * v / total for k, v in room.items()}
+    total = sum(room.values())
+    exact = {k: n * v / total if total else float(n * (k == next(iter(room)))) for k, v in room.items()}
     out = {k: int(v) for k, v in exact.items()}
     for k in sorted(exact, key=lambda k: (out[k] - exact[k], list(room).index(k)))[: n - sum(out.values())]:
         out[k] += 1
