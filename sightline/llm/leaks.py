@@ -178,6 +178,11 @@ def _expand(start: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return _ranges(start[which], start[which + 1])
 
 
+def _distinct(a: np.ndarray) -> np.ndarray:
+    a = np.sort(a)
+    return a[np.concatenate([[True], a[1:] != a[:-1]])[: len(a)]]
+
+
 class Items:
     """The different items as word numbers, and their test phrases.
 
@@ -250,9 +255,9 @@ def passages(doc: np.ndarray, at: np.ndarray, which: np.ndarray, items: Items) -
     inside = counts[np.cumsum(fresh) - 1]
     if not inside.any():
         return []
-    links = np.unique(np.stack([pair[inside], link[inside]]), axis=1)
-    place, of = _expand(items.place_start, links[1])
-    said = np.unique(np.concatenate([(links[0][of] << 32) + items.place[place] + k for k in range(PHRASE)]))
+    links = _distinct((pair[inside] << 32) + link[inside])
+    place, of = _expand(items.place_start, links & 0xFFFFFFFF)
+    said = _distinct(np.concatenate([(links[of] >> 32 << 32) + items.place[place] + k for k in range(PHRASE)]))
     head = np.flatnonzero(other)
     said = said[(said & 0xFFFFFFFF) < items.length[item[head]][said >> 32]]
     repeated = np.bincount(said >> 32, minlength=len(head))

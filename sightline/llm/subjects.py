@@ -7,8 +7,11 @@ areas; then, in rounds, only for those that the classifiers trained so far see i
 that at least half of its annotators gave; unknown names are ignored. The share that decides is calibrated per area on
 the labelled documents, drawn towards the share that is best for all areas together where an area has few labels.
 
-The fit takes at most ``max_labelled`` labelled documents, the first in order of a hash of their ids; where there are
-fewer, unlabelled ones fill the sample, for which a first model's answers stand. Everything else covers all rows. The model has a fixed size and is broadcast; classifying is one pass without a shuffle.
+The fit takes at most ``max_labelled`` labelled documents and always ``unlabelled`` others, for which a first model's
+answers stand; both are the first in order of a hash of their ids. Of each such document at most :data:`FIT_SENTENCES`
+sentences take part, those that come first in order of a hash, however long it is, so that the sample has a bound; they
+are cut out where the documents are. Everything else covers all rows and all sentences. A model is kept in the session
+for the same sample. It has a fixed size and is broadcast; classifying is one pass without a shuffle.
 
 Defined results: NULL, empty and blank texts, and texts without an area, have no row; repeated labels of one annotator
 count once; with no labels at all there are no rows; repeated documents each have rows; further columns are ignored.
@@ -16,6 +19,7 @@ count once; with no labels at all there are no rows; repeated documents each hav
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 import zlib
@@ -32,9 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BUCKETS = 1 << 16
-MAX_LABELLED = 3000
-#: Longer documents take no part in the fit, so that the sample has a bound in characters; they are classified like others.
-MAX_FIT_CHARS = 100_000
+MAX_LABELLED, UNLABELLED, FIT_SENTENCES = 3000, 1500, 64
 #: A sentence treats the area whose classifier gives it most, if that is at least this.
 TREATS = 0.35
 ROUNDS = 3
@@ -43,9 +45,10 @@ USUAL_SHARE, USUAL_WEIGHT = 0.18, 300
 CHUNK_CHARS = 1_000_000
 
 _MARKUP = re.compile(r"<[/!?]?[A-Za-z][^<>]{0,200}>|&[#a-z0-9]{2,8};")
-_END = re.compile(r"[.!?]+(?=\s|$)|[\r\n]+|\s-\s|[。！？]")
+_ENDS = r"[.!?]+(?=\s|$)|[\r\n]+|\s-\s|[。！？]"
+_END = re.compile(_ENDS)
+_ASCII_TOKEN, _TOKEN = re.compile(f"[a-z]+|{_ENDS}"), regex.compile(rf"[\p{{L}}\p{{M}}]+|{_ENDS}")
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
-_ASCII_WORD = re.compile("[a-z]+")
 _LETTER = re.compile(r"[^\W\d_]")
 _UNSPACED = re.compile("[฀-๿]")
 _BROKEN = re.compile("[ÂÃàâ][\u0080-ÿŒ-™]")
@@ -94,44 +97,65 @@ def sentences(text: str) -> list[str]:
     return out
 
 
+#: What a token is, beside the hash of a word: a word of one letter, and the end of a sentence.
+_SHORT, _STOP = -1, -2
 _HASHES: dict[str, int] = {}
 
 
 def _hash(s: str) -> int:
+    """The code of a token."""
     h = _HASHES.get(s)
     if h is None:
         if len(_HASHES) > 500_000:
             _HASHES.clear()
-        h = _HASHES[s] = zlib.crc32(s.encode("utf-8", "replace"))
+        if not (s[0].isalpha() or unicodedata.category(s[0])[0] == "M"):
+            h = _STOP
+        else:
+            h = zlib.crc32(s.encode("utf-8", "replace")) if len(s) > 1 else _SHORT
+        _HASHES[s] = h
     return h
 
 
-def features(sentence: str) -> list[int]:
-    """The buckets of a sentence's words and pairs of words; of letter groups where words are not set apart."""
+_GROUPS: dict[str, list[int]] = {}
+
+
+def _groups(w: str) -> list[int]:
+    """The buckets of a word's groups of three and five letters."""
+    g = _GROUPS.get(w)
+    if g is None:
+        if len(_GROUPS) > 100_000:
+            _GROUPS.clear()
+        g = _GROUPS[w] = [zlib.crc32(w[i : i + n].encode("utf-8", "replace")) % BUCKETS for n in (3, 5) for i in range(max(1, len(w) - n + 1))]
+    return g
+
+
+def letter_groups(sentence: str) -> list[int]:
+    """The buckets of the words and pairs of words of a sentence in which words of unspaced scripts count by letter groups."""
     out, last = [], 0
-    for w in _ASCII_WORD.findall(sentence) if sentence.isascii() else _WORD.findall(sentence):
+    for w in _WORD.findall(sentence):
         if "฀" <= w[0] <= "๿":
-            out += [_hash(w[i : i + n]) % BUCKETS for n in (3, 5) for i in range(max(1, len(w) - n + 1))]
+            out += _groups(w)
             last = 0
         elif len(w) > 1:
-            h = _hash(w)
+            h = zlib.crc32(w.encode("utf-8", "replace"))
             out.append(h % BUCKETS)
             if last:
                 out.append((last * 0x9E3779B1 ^ h) // 128 % BUCKETS)
             last = h
-    return list(dict.fromkeys(out))
+    return out
 
 
 class Matrix:
     """Sparse rows of ones, each row scaled to length one."""
 
-    def __init__(self, rows: list[list[int]]) -> None:
-        count = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
-        self.n = len(rows)
-        self.column = np.fromiter((x for r in rows for x in r), dtype=np.int32, count=int(count.sum()))
+    def __init__(self, n: int, row: np.ndarray, column: np.ndarray) -> None:
+        """``row`` and ``column``: where the ones stand, in any order, repeats allowed."""
+        at = np.sort(row.astype(np.int64) * BUCKETS + column)
+        at = at[np.concatenate([[True], at[1:] != at[:-1]])[: len(at)]]
+        self.n, self.row, self.column = n, (at // BUCKETS).astype(np.int32), (at % BUCKETS).astype(np.int32)
+        count = np.bincount(self.row, minlength=n)
         self.filled = np.flatnonzero(count)
         self.begin = (np.cumsum(count) - count)[self.filled]
-        self.row = np.repeat(np.arange(self.n, dtype=np.int32), count)
         self.value = np.repeat((1 / np.sqrt(np.maximum(count, 1))).astype(np.float32), count)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
@@ -143,6 +167,38 @@ class Matrix:
         return out
 
 
+def read(texts: list[str]) -> tuple[Matrix, np.ndarray]:
+    """The features of all sentences of some texts, and whose they are: words and pairs of neighbouring words, hashed.
+
+    The tokens of all texts are one sequence of codes; sentences and pairs come out of it at once.
+    """
+    tokens: list[str] = []
+    ends, apart = [], []
+    for k, t in enumerate(texts):
+        t = mend(t).casefold()
+        if _UNSPACED.search(t):
+            apart += [(k, letter_groups(s)) for s in sentences(t)]
+        else:
+            tokens += _ASCII_TOKEN.findall(t) if t.isascii() else _TOKEN.findall(t)
+        ends.append(len(tokens))
+    get = _HASHES.get
+    code = np.fromiter((_hash(t) if (h := get(t)) is None else h for t in tokens), dtype=np.int64, count=len(tokens))
+    doc = np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0))
+    part = np.cumsum(code == _STOP) + doc  # a number for each stretch between ends
+    word = code != _STOP
+    code, doc, part = code[word], doc[word], part[word]
+    fresh = np.concatenate([[True], part[1:] != part[:-1]])[: len(part)]
+    sentence, of = np.cumsum(fresh) - 1, doc[fresh]
+    long = code >= 0
+    h, sentence = code[long].astype(np.uint64), sentence[long]
+    pair = np.flatnonzero(sentence[1:] == sentence[:-1]) + 1
+    both = ((h[pair - 1] * np.uint64(0x9E3779B1)) ^ h[pair]) // np.uint64(128) % np.uint64(BUCKETS)
+    n = len(of)
+    row = np.concatenate([sentence, sentence[pair], np.repeat(n + np.arange(len(apart)), [len(f) for _, f in apart]).astype(np.int64)])
+    column = np.concatenate([(h % np.uint64(BUCKETS)).astype(np.int64), both.astype(np.int64), np.array([x for _, f in apart for x in f], dtype=np.int64)])
+    return Matrix(n + len(apart), row, column), np.concatenate([of, np.array([k for k, _ in apart], dtype=np.int64)])
+
+
 def fit_logistic(x: Matrix, y: np.ndarray, weight: np.ndarray, steps: int = 35, start: tuple[np.ndarray, np.ndarray] | None = None, ridge: float = 2e-5, rate: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
     """The weights and biases of one classifier per column of ``y`` (values from 0 to 1), by scaled gradient steps."""
     classes = y.shape[1]
@@ -190,13 +246,14 @@ class Model:
 
     def shares(self, texts: list[str]) -> np.ndarray:
         """The part of each text's sentences that treats each area."""
-        split = [sentences(t) for t in texts]
-        count = np.array([len(s) for s in split])
-        of = np.repeat(np.arange(len(texts)), count)
-        got = self.treated(Matrix([features(s) for part in split for s in part]))
-        hits = np.zeros((len(texts), len(self.names)))
+        x, of = read(texts)
+        return self.counted(x, of, len(texts))
+
+    def counted(self, x: Matrix, of: np.ndarray, n: int) -> np.ndarray:
+        got = self.treated(x)
+        hits = np.zeros((n, len(self.names)))
         np.add.at(hits, (of[got >= 0], got[got >= 0]), 1)
-        return hits / np.maximum(count, 1)[:, None]
+        return hits / np.maximum(np.bincount(of, minlength=n), 1)[:, None]
 
 
 def vote(labels: list[tuple[object, str | None, str | None]], names: list[str]) -> dict[object, set[int]]:
@@ -215,7 +272,7 @@ def fit(texts: list[str], areas: list[set[int]], names: list[str], more: list[st
 
     ``more``: texts without labels. A first model's answers stand for their labels in a second fit.
     """
-    if not any(areas) or not any(map(sentences, texts)):
+    if not any(areas) or not read(texts)[0].n:
         return None
     known, start = len(texts), None
     if more:
@@ -223,10 +280,8 @@ def fit(texts: list[str], areas: list[set[int]], names: list[str], more: list[st
         share, start = first.shares(more), (first.w, first.b)
         texts = [*texts, *more]
         areas = [*areas, *({int(k) for k in np.flatnonzero(s >= np.maximum(first.share, 0.2))} for s in share)]
-    split = [sentences(t) for t in texts]
-    count = np.array([len(s) for s in split])
-    of = np.repeat(np.arange(len(texts)), count)
-    x = Matrix([features(s) for part in split for s in part])
+    x, of = read(texts)
+    count = np.bincount(of, minlength=len(texts))
     allowed = np.zeros((len(texts), len(names)))
     for d, a in enumerate(areas):
         allowed[d, list(a)] = 1
@@ -246,10 +301,7 @@ def fit(texts: list[str], areas: list[set[int]], names: list[str], more: list[st
         # what the classifiers see clearly although no annotator named it says nothing either way
         y = np.where(sure, 1.0, np.where((may == 0) & (p > 0.7), p, 0.0))
     model = Model(names, w, b, np.full(len(names), 0.25))
-    got = model.treated(x)
-    hits = np.zeros((len(texts), len(names)))
-    np.add.at(hits, (of[got >= 0], got[got >= 0]), 1)
-    model.share = calibrate((hits / np.maximum(count, 1)[:, None])[:known], allowed[:known] > 0)
+    model.share = calibrate(model.counted(x, of, len(texts))[:known], allowed[:known] > 0)
     return model
 
 
@@ -269,22 +321,45 @@ def calibrate(share: np.ndarray, truth: np.ndarray, low: float = 0.12, high: flo
     return (own * n + whole * pull) / (n + pull)
 
 
-def train(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame, subjects: DataFrame, max_labelled: int = MAX_LABELLED) -> Model | None:
+def excerpt(text: str, most: int = FIT_SENTENCES) -> str:
+    """At most so many sentences of a text, those first in order of a hash, one a line."""
+    found = sentences(text)
+    if len(found) > most:
+        found = [found[i] for i in sorted(sorted(range(len(found)), key=lambda i: (zlib.crc32(found[i].encode("utf-8", "replace")), i))[:most])]
+    return "\n".join(found)
+
+
+_MODELS: dict[str, Model | None] = {}
+
+
+def train(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame, subjects: DataFrame, max_labelled: int = MAX_LABELLED, unlabelled: int = UNLABELLED) -> Model | None:
     """Fit on at most ``max_labelled`` labelled documents; labels has doc_id, subject and annotator, subjects subject."""
     names = sorted(r[0] for r in subjects.select("subject").where("subject IS NOT NULL").distinct().collect())
-    keys = labels.select(F.col("doc_id").alias("id")).where("id IS NOT NULL").distinct()
-    keys = keys.orderBy(F.xxhash64("id"), "id").limit(max_labelled)
-    chosen = labels.select(F.col("doc_id").alias("id"), "subject", "annotator").join(keys, "id").groupBy("id").agg(F.collect_list(F.struct("subject", "annotator")).alias("given"))
-    text = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.length("text") <= MAX_FIT_CHARS)
-    rows = sorted(text.join(F.broadcast(chosen), "id").collect(), key=lambda r: (r["id"], r["text"]))
-    areas = vote([(r["id"], g["subject"], g["annotator"]) for r in rows for g in r["given"]], names)
+    given = labels.select(F.col("doc_id").alias("id"), "subject", "annotator").where("id IS NOT NULL").distinct()
+    keys = given.select("id").distinct()
+    chosen = keys.orderBy(F.xxhash64("id"), "id").limit(max_labelled)
+    text = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL AND text <> ''")
+
+    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([excerpt(t) for t in b.column(1).to_pylist()], pa.string())], names=["id", "text"])
+
+    def taken(df: DataFrame) -> list[tuple]:
+        return sorted(tuple(r) for r in df.mapInArrow(cut_out, text.schema).collect())
+
+    rows = taken(text.join(F.broadcast(chosen), "id"))
+    votes = [tuple(r) for r in given.join(F.broadcast(chosen), "id").collect()]
+    areas = vote(votes, names)
     if not rows or not names:
         return None
-    fill = []
-    if len(rows) < max_labelled:
-        rest = text.join(F.broadcast(keys), "id", "left_anti").orderBy(F.xxhash64("id"), "id", "text").limit(max_labelled - len(rows))
-        fill = [r["text"] for r in rest.collect()]
-    return fit([r["text"] for r in rows], [areas.get(r["id"], set()) for r in rows], names, fill)
+    rest = taken(text.join(keys, "id", "left_anti").orderBy(F.xxhash64("id"), "id", "text").limit(unlabelled)) if unlabelled else []
+    sample = (tuple(rows), tuple(rest), tuple(sorted(votes, key=repr)), tuple(names))
+    key = hashlib.sha256(repr(sample).encode("utf-8", "replace")).hexdigest()
+    if key not in _MODELS:
+        if len(_MODELS) > 3:
+            _MODELS.clear()
+        _MODELS[key] = fit([t for _, t in rows], [areas.get(i, set()) for i, _ in rows], names, [t for _, t in rest])
+    return _MODELS[key]
 
 
 def classify(docs: DataFrame, id_col: str, text_col: str, model: Model | None) -> DataFrame:

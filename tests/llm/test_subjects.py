@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import DATA
-from sightline.llm.subjects import calibrate, classify, features, fit, mend, sentences, train, vote
+from sightline.llm.subjects import BUCKETS, FIT_SENTENCES, _hash, calibrate, classify, excerpt, fit, letter_groups, mend, read, sentences, train, vote
 from sightline.sources.tables import table
 
 
@@ -17,7 +17,27 @@ def test_sentences():
     assert len(sentences("<p>A b</p><p>C d</p>")) == 2
     assert len(sentences("สมุดรายชื่อนักเรียน (1) กลุ่มอนุบาลเริ่มหลัง")) == 2
     assert mend("Ã¼ber") == "über" and mend("plain") == "plain"
-    assert features("a") == [] and features("12") == [] and len(features("red car")) == 3
+    assert [len(read([t])[0].column) for t in ("a", "12", "red car", "red. car")] == [0, 0, 3, 2]
+
+
+def test_reading_at_once_is_reading_one_by_one():
+    texts = ["", "One red car. A b c!", "12 34.", "Über-Straße 7\r\nändert – é", "สมุดรายชื่อ นักเรียน abc de (1) กลุ่มอนุบาลเริ่มหลัง", "a. b. c", "no end", "x - y - zebra crossing zebra crossing", "。！bold？ end"]
+    x, of = read(texts)
+    rows = {i: set() for i in range(x.n)}
+    for r, c in zip(x.row.tolist(), x.column.tolist()):
+        rows[r].add(c)
+    got = {}
+    for r, d in enumerate(of.tolist()):
+        got.setdefault(d, []).append(rows[r])
+    for d, t in enumerate(texts):
+        want = [set(letter_groups(s)) for s in sentences(t)]
+        assert sorted(map(sorted, got.get(d, []))) == sorted(map(sorted, want)), t
+    assert x.column.max() < BUCKETS and _hash("ab") >= 0 > _hash("a") > _hash(".")
+
+
+def test_excerpt():
+    long = ". ".join(f"word{'abcdefghij'[i % 10]} x{i} {'kl' * (i % 7)}" for i in range(5000))
+    assert len(sentences(excerpt(long))) == FIT_SENTENCES and excerpt("One two. Three") == "one two\n three" and excerpt("") == ""
 
 
 def test_vote():
