@@ -192,7 +192,7 @@ def source_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("path", source_kind(F.col("path")).alias("kind"), source_kind(F.concat(F.lit("rtsp://"), "path")).alias("as_url"))
 
 
-_KINDS_SQL = """SELECT DISTINCT path, CASE WHEN path IS NULL THEN NULL WHEN regexp_full_match(path, '[0-9]+') THEN 'webcam' WHEN contains(path, '://') THEN 'stream' WHEN regexp_matches(lower(path), '\\.(jpg|jpeg|png|bmp|webp)$') THEN 'image' ELSE 'video' END AS kind,
+_KINDS_SQL = """SELECT DISTINCT path, CASE WHEN path IS NULL THEN NULL WHEN regexp_full_match(path, '[0-9]+') THEN 'webcam' WHEN contains(path, '://') THEN 'stream' WHEN regexp_matches(lower(path), '\\.(jpg|jpeg|png|bmp|webp|tif|tiff)$') THEN 'image' ELSE 'video' END AS kind,
   CASE WHEN path IS NULL THEN NULL ELSE 'stream' END AS as_url FROM clips"""
 
 

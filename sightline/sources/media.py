@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Suffixes of pictures.
-IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "bmp", "webp")
+IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "bmp", "webp", "tif", "tiff")
 
 
 def source_kind(source: Column) -> Column:

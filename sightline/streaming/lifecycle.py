@@ -142,23 +142,16 @@ def windowed_counts(detections: DataFrame, size: str = "1 minute", slide: str |
     return timed.groupBy(F.window("event_time", size, slide), "camera_id", "label").agg(F.count("*").alias("n"), F.max("confidence").alias("best"))
 
 
-Channel = Callable[[list[dict]], list[tuple[bool, str | None]]]
-
-
-def deliver(batch: DataFrame, channels: dict[str, Channel], path: str) -> None:
-    """A foreachBatch sink: send an outbox (event_id, channel, text) and append the delivery records.
-
-    A channel that fails makes failed records for its rows and never stops the others.
-    """
+def session_counts(detections: DataFrame, gap: str = "10 seconds", lateness: str = "10 minutes") -> DataFrame:
+    """Detections per camera, label and session of event time: rows closer than ``gap`` belong together."""
+    timed = detections.withWatermark("event_time", lateness)
+    return timed.groupBy(F.session_window("event_time", gap), "camera_id", "label").agg(F.count("*").alias("n"), F.max("confidence").alias("best"))
 
-    def send(part: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in part:
-            for name, rows in pdf.groupby("channel", sort=False):
-                try:
-                    said = channels[name](rows.to_dict("records")) if name in channels else [(False, "not configured")] * len(rows)
-                except Exception as e:  # noqa: BLE001
-                    said = [(False, f"{type(e).__name__}: {e}")] * len(rows)
-                yield pd.DataFrame({"event_id": rows["event_id"].to_numpy(), "channel": name, "success": [s for s, _ in said], "error": [e for _, e in said]})
 
-    records = batch.select("event_id", "channel", "text").mapInPandas(send, "event_id string, channel string, success boolean, error string")
-    records.withColumn("sent_at", F.current_timestamp()).write.mode("append").parquet(path)
+def joined_streams(events: DataFrame, records: DataFrame, within: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
+    """Two streams joined: events (event_id, event_time, ...) with the records of their deliveries (event_id, sent_at, ...)
+    of the time ``within`` after them; events without any come once the watermark has passed."""
+    e = events.withWatermark("event_time", lateness)
+    r = records.withColumnRenamed("event_id", "of_event").withWatermark("sent_at", lateness)
+    near = F.expr(f"event_id = of_event AND sent_at >= event_time AND sent_at <= event_time + INTERVAL {within}")
+    return e.join(r, near, "leftOuter").drop("of_event")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from sightline import config as C
 from sightline.sources import event_log, files, media
-from sightline.streaming.lifecycle import deliver
 
 
 def test_config(tmp_path, spark):
@@ -115,16 +114,6 @@ def test_sources(spark):
     assert [r[0] for r in kinds.collect()] == ["webcam", "stream", "image", "video", None]
 
 
-def test_delivery(tmp_path, spark):
-    def broken(rows):
-        raise OSError("down")
-
-    box = spark.createDataFrame([("e", "a", "t"), ("e", "b", "t"), ("e", "c", "t")], "event_id string, channel string, text string")
-    deliver(box, {"a": lambda rows: [(True, None)] * len(rows), "b": broken}, str(tmp_path / "d"))
-    got = {r.channel: (r.success, r.error) for r in spark.read.parquet(str(tmp_path / "d")).collect()}
-    assert got == {"a": (True, None), "b": (False, "OSError: down"), "c": (False, "not configured")}
-
-
 def test_hash_guard(tmp_path, spark):
     import hashlib
 
