@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import importlib
 import json
 import re
@@ -157,9 +158,24 @@ def class_ids(names: dict[int, str], wanted: list[str]) -> list[int]:
     return [by[w.lower()] for w in wanted]
 
 
+def for_evaluation(config: dict[str, Any]) -> dict[str, Any]:
+    """A copy of a configuration with every channel off, so that a run for evaluation sends nothing."""
+    out = copy.deepcopy(config)
+    names = {"console", *(out.get("channels") or {})}
+    out["channels"] = {n: {**((out.get("channels") or {}).get(n) or {}), "enabled": False} for n in sorted(names)}
+    return out
+
+
 Policy = Callable[[DataFrame], DataFrame]
 
 
-def run_policies(detections: DataFrame, policies: dict[str, Policy]) -> dict[str, DataFrame]:
-    """Each policy's candidates. They share the detections' scan; nothing runs until a result is asked for."""
-    return {name: policy(detections) for name, policy in policies.items()}
+def run_policies(detections: DataFrame, policies: dict[str, Policy]) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    """Each policy's candidates, and the errors of those that can't be planned. They share the detections' scan; nothing
+    runs until a result is asked for. What may fail on single frames belongs into operators.runner."""
+    made, errors = {}, {}
+    for name, policy in policies.items():
+        try:
+            made[name] = policy(detections)
+        except Exception as e:  # noqa: BLE001
+            errors[name] = f"{type(e).__name__}: {e}"
+    return made, errors

@@ -27,3 +27,25 @@ def mask(secret: Column, shown: int = 4) -> Column:
     n = F.length(secret)
     ends = F.concat(F.substring(secret, 1, shown), F.repeat(F.lit("*"), n - 2 * shown), F.right(secret, F.lit(shown)))
     return F.when(n <= 2 * shown, F.repeat(F.lit("*"), n)).otherwise(ends)
+
+
+def hundredths(col: Column) -> Column:
+    """A number of at least 0 with two digits after the point, halves upwards."""
+    n = F.floor(col * 100 + F.lit(0.5))
+    return F.concat(F.floor(n / 100).cast("string"), F.lit("."), F.lpad((n % 100).cast("string"), 2, "0"))
+
+
+def one_decimal(col: Column) -> Column:
+    """A number of at least 0 with one digit after the point, halves upwards."""
+    n = F.floor(col * 10 + F.lit(0.5))
+    return F.concat(F.floor(n / 10).cast("string"), F.lit("."), (n % 10).cast("string"))
+
+
+def moment(seconds: Column, pattern: str) -> Column:
+    """Epoch seconds as a text in the session's time zone; '-' for NULL and 0."""
+    return F.when(seconds.isNull() | (seconds == 0), "-").otherwise(F.date_format(F.timestamp_seconds(F.floor(seconds)), pattern))
+
+
+def clip_start(day: Column, hhmm: Column) -> Column:
+    """Epoch seconds of HH:MM on a day, in the session's time zone."""
+    return F.unix_timestamp(F.concat(day.cast("string"), F.lit(" "), hhmm), "yyyy-MM-dd HH:mm").cast("double")

@@ -1,4 +1,4 @@
-"""One row per key out of repeated deliveries and versions. Partial aggregation runs before the shuffle."""
+"""One row per key out of its versions. Partial aggregation runs before the shuffle."""
 
 from __future__ import annotations
 
@@ -11,11 +11,6 @@ def _one(df: DataFrame, keys: list[str], order: str, pick) -> DataFrame:  # noqa
     return df.groupBy(*keys).agg(pick(F.struct(order, *rest)).alias("__r")).select(*keys, *(F.col("__r")[c].alias(c) for c in (order, *rest)))
 
 
-def first_delivery(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The row of each key that is first in ``order``; rows equal in it are told apart by their other columns."""
-    return _one(df, keys, order, F.min)
-
-
 def latest_version(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The row of each key that is last in ``order``: the state after upserting all versions."""
     return _one(df, keys, order, F.max)

@@ -163,7 +163,7 @@ def threshold_sweep(scores: DataFrame, thresholds: list[float] | None = None) ->
     kinds = scores.select(F.col("label").alias("y"), F.coalesce(F.col("det_fired"), F.lit(False)).alias("d"), F.coalesce(passed, F.lit(0)).alias("p"))
     counts = kinds.groupBy("y", "d", "p").agg(F.count("*").alias("n"))
     table = scores.sparkSession.createDataFrame([(-1, None), *enumerate(levels)], "i int, threshold double")
-    each = F.broadcast(table).join(counts.withColumn("one", F.lit(1)), F.col("one") == 1)  # a few hundred counts at most
+    each = F.broadcast(table).crossJoin(counts)  # a few hundred counts at most
     fired = F.col("d") & (F.col("p") > F.col("i"))
     total = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
     swept = each.groupBy("i", "threshold").agg(total(fired & (F.col("y") == 1)).alias("tp"), total(~fired & (F.col("y") == 1)).alias("fn"), total(fired & (F.col("y") != 1)).alias("fp"), total(~fired & (F.col("y") != 1)).alias("tn"))
@@ -178,6 +178,32 @@ def choose_threshold(sweep: DataFrame, max_recall_drop: float = 0.05) -> DataFra
     return F.broadcast(base).join(best).select(F.col("b.threshold").alias("threshold"), F.col("b.tp").alias("tp"), F.col("b.fp").alias("fp"), "base_tp", "base_fp", F.coalesce(F.col("b.fp") < F.col("base_fp"), F.lit(False)).alias("adopted"))
 
 
+def overall(statuses: DataFrame) -> DataFrame:
+    """Many results (``status``) as one: how many, those that passed, and PASS only if all did. No results are none."""
+    passed = F.col("status") == "PASS"
+    return statuses.agg(F.count("*").alias("keys"), F.count_if(passed).alias("passed"), F.when(F.bool_and(passed), "PASS").otherwise("FAIL").alias("overall"))
+
+
+def of_split(clips: DataFrame, which: str) -> DataFrame:
+    """The clips of a split, whatever its case and blanks; 'all' takes every clip, those without a split too."""
+    if which not in ("tune", "test", "all"):
+        raise ValueError(f"unknown split {which!r}")
+    return clips if which == "all" else clips.where(F.lower(F.trim("split")) == which)
+
+
+def first_and_more(df: DataFrame, name: str, most: int = 50) -> DataFrame:
+    """The first ``most`` names in order as ``line``, and a last line that says how many more there are."""
+    first = df.orderBy(name).limit(most).select(F.col(name).alias("line"))
+    rest = df.agg((F.count("*") - most).alias("n")).where("n > 0").select(F.concat(F.lit("... "), F.col("n").cast("string"), F.lit(" more")).alias("line"))
+    return first.unionAll(rest)
+
+
+def split_counts(items: DataFrame, origins: list[str]) -> DataFrame:
+    """Per side: pictures, flagged and other ones, boxes, distinct groups, and a column of pictures for each origin."""
+    by = [F.count_if(F.col("origin") == o).alias(o) for o in origins]
+    return items.groupBy("side").agg(F.count("*").alias("images"), F.count_if("flag").alias("positives"), F.count_if(~F.col("flag")).alias("negatives"), F.sum("boxes").alias("boxes"), F.count_distinct("grp").alias("groups"), *by)
+
+
 def upper_median(values: Column) -> Column:
     """The middle of a sorted array, the later of two."""
     return F.try_element_at(F.array_sort(values), (F.floor(F.size(values) / 2) + 1).cast("int"))

@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from sightline.functions import geometry as G
 from sightline.functions import pose as P
-from sightline.operators.dedupe import first_delivery
 from sightline.operators.nms import suppress
 from sightline.operators.policies import LabelRule, climbing, drop_overlapped, every_nth, label_match, out_of_area, zone_hits
-from sightline.sources.tables import table
+from sightline.sources.tables import once, table
 
 RULES = [
     LabelRule("hazard_object", ("knife", "scissors"), 0.4),
@@ -31,8 +30,7 @@ _ONCE = "once AS (SELECT * EXCLUDE (ingested_at) FROM detections QUALIFY row_num
 
 def detections(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Each detection once, with the given columns."""
-    d = table(spark, sf_dir, "detections").select("det_id", "ingested_at", *columns)
-    return first_delivery(d, ["det_id"], "ingested_at").drop("ingested_at")
+    return once(spark, sf_dir, "detections", ["det_id"], "ingested_at", *columns)
 
 
 def zone_table(spark: SparkSession, sf_dir: str) -> DataFrame:

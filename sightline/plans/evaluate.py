@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.functions.text import to_ms
-from sightline.operators.dedupe import first_delivery
 from sightline.operators.evaluate import (
     GATES,
     choose_threshold,
@@ -24,7 +23,7 @@ from sightline.operators.evaluate import (
     upper_median,
 )
 from sightline.plans.detections import _ONCE, detections
-from sightline.sources.tables import table
+from sightline.sources.tables import once, table
 
 _STEM = "regexp_replace(regexp_extract(path, '([^/\\\\]*)$', 1), '(.)\\.[^.]*$', '\\1')"
 _RUNS = "runs AS (SELECT * FROM run_stats QUALIFY row_number() OVER (PARTITION BY run_id, detector ORDER BY ingested_at) = 1), vals AS (SELECT *, list_transform(list_filter(infer_ms, lambda x: x IS NOT NULL AND NOT isnan(x) AND x >= 0 AND x < 1e15), lambda x: round(x * 10)::BIGINT) AS v FROM runs)"
@@ -162,7 +161,8 @@ def choice_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return first_delivery(table(spark, sf_dir, "run_stats"), ["run_id", "detector"], "ingested_at").withColumn("v", tenths(F.col("infer_ms")))
+    columns = ("camera_id", "started_at", "frames", "seconds", "errors", "confirmed", "infer_ms")
+    return once(spark, sf_dir, "run_stats", ["run_id", "detector"], "ingested_at", *columns).withColumn("v", tenths(F.col("infer_ms")))
 
 
 def rolling_latency(spark: SparkSession, sf_dir: str) -> DataFrame:

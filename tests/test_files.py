@@ -125,3 +125,49 @@ def test_hash_guard(tmp_path, spark):
         media.verified(files_, "0" * 64).collect()
     with pytest.raises(ValueError):
         media.verified(files_, "")
+
+
+def test_reports_and_sets(tmp_path, spark):
+    from sightline.operators import preflight
+    from sightline.operators.dataset import assert_disjoint
+    from sightline.operators.evaluate import clip_scores, first_and_more, gate_status, of_split, overall
+    from sightline.operators.report import explain, funnel
+    from sightline.sources import reports
+
+    clips = spark.createDataFrame([("a/fight_pos_s2_01_x.mp4", "test", ["fight"], {"fight": 1}, 60.0, 10, {}), ("a/n.mp4", "tune", None, None, 30.0, 5, {})], "path string, split string, expected array<string>, fired map<string,int>, duration_s double, frames int, max_conf map<string,double>")
+    table, summary = reports.write_clip_report(clips, clip_scores(clips), gate_status(clips.where("split = 'test'"), available=["fight"]), str(tmp_path), "run", ["one note"])
+    assert sorted((r.clip, r.expected, r.fired, r.duration_s) for r in spark.read.csv(table, header=True).collect()) == [("fight_pos_s2_01_x.mp4", "fight", "fight:1", "60.0"), ("n.mp4", "none", "none", "30.0")]
+    text = open(summary).read()
+    assert "- clips: 2, video time 1.5 min" in text and "| fight | 1/1 |" in text and "INCOMPLETE" in text
+    log = spark.createDataFrame([("e1", "fight", "c", None, 100.0, 101.0, 103.5, [("line", 1.0, True, None)], 4, 0.905, "x", "s/a.jpg")], "event_id string, event_type string, camera_id string, subject string, started_at double, confirmed_at double, last_seen_at double, notifications array<struct<channel:string,sent_at:double,success:boolean,error:string>>, hit_count int, peak_confidence double, peak_label string, snapshot_path string")
+    table, md = reports.write_event_report(log, explain(log, {}, 30.0), funnel(log), str(tmp_path), "test")
+    assert [(r.seconds_seen, r.peak, r.snapshot) for r in spark.read.csv(table, header=True, schema=None).collect()] == [("3.5", "0.91", "a.jpg")] and "| fight | 4 | 1 | 1 | 0 | 0 |" in open(md).read()
+
+    items = spark.createDataFrame([("train", "a.jpg", b"1", ["0 1 1 1 1"]), ("val", "b.png", b"2", None)], "side string, name string, content binary, lines array<string>")
+    report = reports.write_image_set(items, str(tmp_path / "set"), ["smoke"], {"seed": 0})
+    assert report["train"] == {"images": 1, "positives": 1, "negatives": 0, "boxes": 1} and (tmp_path / "set/val/labels/b.txt").read_text() == "" and (tmp_path / "set/train/labels/a.txt").read_text() == "0 1 1 1 1\n"
+    assert "0: smoke" in (tmp_path / "set/data.yaml").read_text() and "seed" in (tmp_path / "set/build_info.json").read_text()
+    with pytest.raises(FileExistsError):
+        reports.write_image_set(items, str(tmp_path / "set"), ["smoke"])
+    reports.write_record(str(tmp_path / "train.json"), {"epochs": 3})
+    with pytest.raises(FileExistsError):
+        reports.write_record(str(tmp_path / "train.json"), {})
+    shots = spark.createDataFrame([("e", "x/s.jpg", b"1"), ("f", "g.jpg", None)], "event_id string, name string, content binary")
+    assert {r.event_id: r.error is None for r in reports.write_snapshots(shots, str(tmp_path / "shots")).collect()} == {"e": True, "f": False} and (tmp_path / "shots/x/s.jpg").read_bytes() == b"1"
+
+    checks = {"weights": preflight.weights_present(str(tmp_path / "no.pt")), "zones": preflight.zones_calibrated([{"name": "z"}]), "login": preflight.credentials_present({"token": ""}), "disk": preflight.storage_writable(str(tmp_path / "d"), 1), "source": preflight.source_opens(lambda: [1]), "model": preflight.model_runs(lambda f: 1 / 0)}
+    rows = preflight.run_checks(spark, checks)
+    assert [r.status for r in rows.orderBy("at").collect()] == ["FAIL", "WARN", "WARN", "OK", "OK", "FAIL"] and preflight.any_failed(rows).first()[0] == 1 and preflight.any_failed(rows.where("status = 'OK'")).first()[0] == 0
+    results = spark.createDataFrame([("a", "PASS"), ("b", "INCOMPLETE")], "k string, status string")
+    assert overall(results).first().overall == "FAIL" and overall(results.limit(1)).first().overall == "PASS"
+    names = spark.createDataFrame([(f"n{i:02}",) for i in range(12)], "name string")
+    assert [r.line for r in first_and_more(names, "name", 10).collect()][-1] == "... 2 more" and first_and_more(names, "name", 12).count() == 12
+    assert of_split(clips, "tune").count() == 1 and of_split(clips, "all").count() == 2
+    with pytest.raises(ValueError):
+        of_split(clips, "train")
+    assert assert_disjoint(spark.createDataFrame([("a", "train"), ("a", "val"), ("b", "val")], "grp string, side string")).collect()[0].grp == "a"
+    assert [tuple(r) for r in files.unique_names(spark.createDataFrame([("a",), ("a",), ("b",)], "name string"), "name").collect()] == [("a", 2)]
+    off = C.for_evaluation({"channels": {"line": {"enabled": True, "to": "x"}}, "routes": []})
+    assert off["channels"] == {"console": {"enabled": False}, "line": {"enabled": False, "to": "x"}} and C.routes(off)[1] == []
+    made, errors = C.run_policies(names, {"good": lambda d: d.limit(1), "bad": lambda d: d.select("nothing")})
+    assert set(made) == {"good"} and "bad" in errors
