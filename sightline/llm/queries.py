@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,25 +14,16 @@ from sightline.llm.leaks import find_leaks, removal_spans
 from sightline.llm.runs import collapse_runs
 from sightline.llm.splits import deal, linked_sets, path_keys, record_forest, split_key, torn_sets
 from sightline.llm.subjects import classify, train
-from sightline.session import cut, small
-from sightline.sources.tables import table
+from sightline.sources.tables import once, table
 
-TOKENIZERS = "/opt/tokenizers"
+#: The folder of tokenizer files; SIGHTLINE_TOKENIZERS names another.
+TOKENIZERS = os.environ.get("SIGHTLINE_TOKENIZERS", "/opt/tokenizers")
 MAX_GAP_MS = 5000
 
 
 def _run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each (run_id, detector) once, by its first delivery.
-
-    Only the keys that come twice are aggregated, without the arrays; the rows then pass a join with these few keys.
-    """
-    runs = table(spark, sf_dir, "run_stats").select("run_id", "detector", "started_at", "infer_ms", "ingested_at", F.struct("_metadata.file_path", "_metadata.row_index").alias("row"))
-    twice = runs.groupBy("run_id", "detector").agg(F.count("*").alias("n")).where("n > 1")
-    same = lambda a, b: [a[k].eqNullSafe(b[k]) for k in ("run_id", "detector")]
-    first = runs.join(twice, same(runs, twice), "left_semi").groupBy("run_id", "detector").agg(F.min(F.struct("ingested_at", "row")).alias("kept"))
-    first = small(cut(first.select("run_id", "detector", F.col("kept.row").alias("kept"))))
-    once = runs.join(first, same(runs, first), "left").where("kept IS NULL OR kept = row")
-    return once.select(runs["detector"], "started_at", "infer_ms")
+    """Each (run_id, detector) once, by its first delivery, without shuffling the arrays."""
+    return once(spark, sf_dir, "run_stats", ["run_id", "detector"], "ingested_at", "started_at", "infer_ms")
 
 
 def _day(seconds: str):  # noqa: ANN202
