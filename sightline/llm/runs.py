@@ -1,16 +1,16 @@
 """Runs of equal or near-equal consecutive events, by adjacent agglomeration.
 
 The events of each entity, in order, start as runs of one. A priority queue over a linked list repeatedly merges the
-most similar neighbouring runs (ties: the earlier) until no border meets both limits: the gap from the last event of
-the left run to the first of the right one, and the similarity, which is the least over all pairs of their labels.
-Because that least can only fall, a border whose two touching events miss a limit is never crossed: it is a hard cut,
-and stretches between hard cuts are independent of each other.
+most similar neighbouring runs until no border meets both limits: the gap from the last event of the left run to the
+first of the right one, and the similarity, which is the least over all pairs of their labels. Of equally similar borders
+the one comes first whose right event has the smaller hash of its id.
 
-The cluster range-sorts all events by entity and order, so that an entity of any size spreads over many partitions.
-Each partition agglomerates its inner stretches to the end; of the stretches at its two borders only equal labels are
-merged (always the first merges to be made), and these few runs are agglomerated once more per stretch after the
-partitions' ends (two rows each) have told which stretches belong together. With similarity 1 such a stretch holds
-one run per partition. With a lower one it holds as many runs as labels alternate in it.
+Because the similarity of a border can only fall, a border before both its neighbours in that order is merged whatever
+happens elsewhere, and one below the limit is never crossed. So the cluster range-sorts all events by entity and order,
+an entity of any size spreading over many partitions, and each partition merges all that doesn't hang on what lies beyond
+its ends: only the borders that wait for one at an end, each after the next, are left. As the order of equal borders is
+as good as random, such chains are short, even where labels alternate for ever. These few runs, joined to stretches by
+the partitions' ends (two rows each), are agglomerated once more.
 
 Defined results: events with a NULL entity, time or label are left out, and those whose label normalises to ''; an id
 that occurs several times counts once, by its first ingested row; ties in the order fall to the id; an empty table
@@ -56,36 +56,52 @@ class _Similar:
         return s
 
 
-def agglomerate(labels: Sequence[tuple[str, ...]], open_border: Sequence[bool], similar: _Similar, least: float) -> list[int]:
-    """The first node of each run after all merges. open_border[i]: whether the gap before node i lets a merge pass."""
+def tie_keys(ids: np.ndarray) -> np.ndarray:
+    """A hash of each id, by which equally similar borders are ordered."""
+    x = ids.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+def agglomerate(labels: Sequence[tuple[str, ...]], open_border: Sequence[bool], ties: Sequence[int], similar: _Similar, least: float, left: bool = False, right: bool = False) -> tuple[list[int], list[bool]]:
+    """The first node of each run after all merges, and whether the border before it waits for what lies beyond an end.
+
+    open_border[i]: whether the gap before node i lets a merge pass. ``left``, ``right``: whether something may lie beyond.
+    """
     n = len(labels)
     labels = list(labels)
-    after, before, alive, stamp = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n, [0] * n
-    heap = [(-s, i, 0) for i in range(1, n) if open_border[i] and (s := similar(labels[i - 1], labels[i])) >= least]
+    after, before, alive, stamp, waits = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n, [0] * n, [False] * n
+    heap = [(-s, ties[i], i, 0) for i in range(1, n) if open_border[i] and (s := similar(labels[i - 1], labels[i])) >= least]
     heapq.heapify(heap)
 
     def renew(i: int) -> None:
         stamp[i] += 1
         if (s := similar(labels[before[i]], labels[i])) >= least:
-            heapq.heappush(heap, (-s, i, stamp[i]))
+            heapq.heappush(heap, (-s, ties[i], i, stamp[i]))
 
     while heap:
-        _, i, seen = heapq.heappop(heap)
+        s, _, i, seen = heapq.heappop(heap)
         if not alive[i] or stamp[i] != seen:
             continue
         a, c = before[i], after[i]
+        # equal labels merge at any time: that changes no border
+        if s > -1.0 and ((left if a == 0 else waits[a]) or (right if c == n else waits[c])):
+            waits[i] = True
+            continue
         alive[i] = False
         after[a] = c
         if c < n:
             before[c] = a
-        left, right = labels[a], labels[i]
-        both = left if left == right else tuple(sorted({*left, *right}))
+        mine, other = labels[a], labels[i]
+        both = mine if mine == other else tuple(sorted({*mine, *other}))
         labels[a] = both
-        if both != left and a > 0 and open_border[a]:
+        if both != mine and a > 0 and open_border[a]:
             renew(a)
-        if both != right and c < n and open_border[c]:
+        if both != other and c < n and open_border[c]:
             renew(c)
-    return [i for i in range(n) if alive[i]]
+    heads = [i for i in range(n) if alive[i]]
+    return heads, [waits[i] for i in heads]
 
 
 def _collapse(nodes: pd.DataFrame, heads: list[int]) -> pd.DataFrame:
@@ -108,7 +124,7 @@ class _Partition:
 
     def __init__(self, max_gap_ms: int, least: float, measure: Callable[[str, str], float]) -> None:
         self.gap, self.least, self.similar = max_gap_ms, least, _Similar(measure)
-        self.held: pd.DataFrame | None = None
+        self.held: list[pd.DataFrame] = []
         self.at_head = True
 
     def borders(self, nodes: pd.DataFrame) -> np.ndarray:
@@ -118,36 +134,46 @@ class _Partition:
         passes[1:] = (entity[1:] == entity[:-1]) & (start[1:] - end[:-1] <= self.gap)
         return passes
 
-    def feed(self, rows: pd.DataFrame | None) -> Iterator[tuple[pd.DataFrame, int]]:
-        """Finished runs and what they are: 0 inner, 1 of the first stretch, 2 of the last, 3 of the only one."""
-        nodes = self.held if rows is None else rows if self.held is None else pd.concat([self.held, rows], ignore_index=True)
-        if nodes is None or not len(nodes):
-            return
-        passes = self.borders(nodes)
+    def joined(self, nodes: pd.DataFrame) -> list[bool]:
+        """Whether each node and the one before it can be of one stretch."""
         labels = nodes["labels"].tolist()
-        joined = [bool(p) and (i > 0 and self.similar(labels[i - 1], labels[i]) >= self.least) for i, p in enumerate(passes.tolist())]
-        cuts = [0, *(i for i in range(1, len(nodes)) if not joined[i])]
-        head = cuts[1] if self.at_head and len(cuts) > 1 else len(nodes) if self.at_head else 0
-        tail = cuts[-1]
-        if self.at_head and len(cuts) == 1:
-            self.held = self.equal(nodes, passes)
-            if rows is None:
-                yield self.held, 3
-            return
-        if head:
-            yield self.equal(nodes.iloc[:head], passes[:head]), 1
-            self.at_head = False
-        if tail > head:
-            part = nodes.iloc[head:tail]
-            yield _collapse(part, agglomerate(labels[head:tail], joined[head:tail], self.similar, self.least)), 0
-        self.held = self.equal(nodes.iloc[tail:], passes[tail:])
-        if rows is None:
-            yield self.held, 2
-
-    def equal(self, nodes: pd.DataFrame, passes: np.ndarray) -> pd.DataFrame:
-        """The nodes of a stretch with neighbours of equal label merged, which comes before all other merges."""
-        nodes = nodes.reset_index(drop=True)
-        return _collapse(nodes, agglomerate(nodes["labels"].tolist(), passes.tolist(), self.similar, 1.0))
+        return [bool(p) and self.similar(labels[i - 1], labels[i]) >= self.least for i, p in enumerate(self.borders(nodes).tolist())]
+
+    def feed(self, rows: pd.DataFrame | None) -> Iterator[tuple[pd.DataFrame, int]]:
+        """Finished runs and what they are: 0 inner, 1 waiting for what is before, 2 for what is behind, 3 for both.
+
+        Rows are held until a border that is never crossed follows; no held row is looked at again before.
+        """
+        if rows is not None and len(rows):
+            known = rows if not self.held else pd.concat([self.held[-1].iloc[-1:], rows], ignore_index=True)
+            shift = len(known) - len(rows)
+            cuts = [i - shift for i, j in enumerate(self.joined(known)) if i >= shift and i and not j]
+            begin = 0
+            if cuts:
+                if cuts[0]:
+                    self.held.append(rows.iloc[: cuts[0]])
+                yield from self.merge(pd.concat(self.held, ignore_index=True), False)
+                begin = cuts[-1]
+                if begin > cuts[0]:
+                    yield from self.merge(rows.iloc[cuts[0] : begin].reset_index(drop=True), False)
+            self.held = [rows.iloc[begin:]] if cuts else [*self.held, rows]
+        elif rows is None and self.held:
+            yield from self.merge(pd.concat(self.held, ignore_index=True), True)
+
+    def merge(self, nodes: pd.DataFrame, last: bool) -> Iterator[tuple[pd.DataFrame, int]]:
+        """Whole stretches, of which the first may go on before the partition and the last behind it."""
+        heads, waits = agglomerate(nodes["labels"].tolist(), self.borders(nodes).tolist(), tie_keys(nodes["first_id"].to_numpy()).tolist(), self.similar, self.least, self.at_head, last)
+        runs = _collapse(nodes, heads)
+        ends = [i for i, w in enumerate(waits) if not w]  # the first one and those after a border that is never crossed
+        first = (ends[1] if len(ends) > 1 else len(runs)) if self.at_head else 0
+        tail = ends[-1] if last else len(runs)
+        if first and tail < first:
+            yield runs, 3
+        else:
+            for part, place in ((runs.iloc[:first], 1), (runs.iloc[first:tail], 0), (runs.iloc[tail:], 2)):
+                if len(part):
+                    yield part, place
+        self.at_head = False
 
 
 def collapse_runs(
@@ -175,14 +201,14 @@ def collapse_runs(
     ordered = ordered.select("entity", "id", "ms", "label", F.spark_partition_id().alias("pid"))
 
     fields = [T.StructField("entity", df.select(entity.alias("e")).schema["e"].dataType), *(T.StructField(c, T.LongType()) for c in _NODE[1:6]), T.StructField("labels", T.ArrayType(T.StringType()))]
-    marked = [*fields, T.StructField("pid", T.LongType()), T.StructField("place", T.IntegerType()), T.StructField("edge", T.IntegerType())]
+    marked = [*fields, T.StructField("pid", T.LongType()), T.StructField("at", T.LongType()), T.StructField("place", T.IntegerType()), T.StructField("edge", T.IntegerType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work, pid, first = _Partition(max_gap_ms, min_similarity, measure), None, True
+        work, pid, first, given = _Partition(max_gap_ms, min_similarity, measure), None, True, 0
         kind: pa.DataType | None = None
 
         def give(found: pd.DataFrame, place: int, last: bool) -> pa.RecordBatch:
-            nonlocal first
+            nonlocal first, given
             edge = np.zeros(len(found), dtype=np.int32)
             if first:
                 edge[0] |= 1
@@ -190,9 +216,10 @@ def collapse_runs(
             if last:
                 edge[-1] |= 2
             n = len(found)
+            given += n
             return pa.RecordBatch.from_arrays(
-                [pa.array(found["entity"], kind), *(pa.array(found[c].to_numpy(), pa.int64()) for c in _NODE[1:6]), pa.array(found["labels"].tolist(), pa.list_(pa.string())), pa.array(np.full(n, pid), pa.int64()), pa.array(np.full(n, place), pa.int32()), pa.array(edge)],
-                names=[*_NODE, "pid", "place", "edge"],
+                [pa.array(found["entity"], kind), *(pa.array(found[c].to_numpy(), pa.int64()) for c in _NODE[1:6]), pa.array(found["labels"].tolist(), pa.list_(pa.string())), pa.array(np.full(n, pid), pa.int64()), pa.array(np.arange(given - n, given), pa.int64()), pa.array(np.full(n, place), pa.int32()), pa.array(edge)],
+                names=[*_NODE, "pid", "at", "place", "edge"],
             )
 
         made: dict[str, tuple[str, ...]] = {}
@@ -218,16 +245,13 @@ def collapse_runs(
         return inner
     links = F.broadcast(spark.createDataFrame(stretches, "pid long, head long, tail long"))
     border = made.where("place > 0").join(links, "pid").withColumn("stretch", F.when(F.col("place") == 2, F.col("tail")).otherwise(F.col("head")))
-    border = border.select(*_NODE, "stretch", "pid")
-    if len(stretches) == 1:
-        border = border.withColumn("pid", F.lit(0).cast("long"))
-
+    border = border.select(*_NODE, "stretch", "pid", "at")
     def stitch(nodes: pd.DataFrame) -> pd.DataFrame:
-        nodes = nodes.sort_values(["first_ms", "pid"], kind="stable").reset_index(drop=True)
+        nodes = nodes.sort_values(["pid", "at"], kind="stable").reset_index(drop=True)
         nodes["labels"] = pd.Series([tuple(x) for x in nodes["labels"]], dtype=object)
         work = _Partition(max_gap_ms, min_similarity, measure)
-        passes = work.borders(nodes)
-        out = _collapse(nodes, agglomerate(nodes["labels"].tolist(), passes.tolist(), work.similar, min_similarity))
+        ties = tie_keys(nodes["first_id"].to_numpy()).tolist()
+        out = _collapse(nodes, agglomerate(nodes["labels"].tolist(), work.borders(nodes).tolist(), ties, work.similar, min_similarity)[0])
         return out.assign(labels=[list(x) for x in out["labels"]])[_NODE]
 
     return inner.unionByName(border.groupBy("stretch").applyInPandas(stitch, T.StructType(fields)))

@@ -3,10 +3,11 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sightline.llm.runs import _Similar, agglomerate, collapse_runs, label_similarity
+from sightline.llm.runs import _Similar, agglomerate, collapse_runs, label_similarity, tie_keys
 
 SCHEMA = "id long, cam string, ts long, label string, ing long"
 
@@ -29,7 +30,8 @@ def brute_equal(rows, gap):
 
 
 def brute_near(rows, gap, least):
-    """Try every border again and again; merge the most similar, the earliest of equals."""
+    """Try every border again and again; merge the most similar, of equals that before the smallest hash."""
+    tie = lambda i: int(tie_keys(np.array([i]))[0])
     out = []
     for cam, group in itertools.groupby(sorted(rows, key=lambda r: (r[1], r[2], r[0])), key=lambda r: r[1]):
         runs = [[i, i, 1, {x}, t, t] for i, _, t, x, _ in group]
@@ -39,8 +41,8 @@ def brute_near(rows, gap, least):
                 a, b = runs[k - 1], runs[k]
                 if b[4] - a[5] <= gap:
                     s = min(label_similarity(x, y) for x in a[3] for y in b[3])
-                    if s >= least and (best is None or s > best[0]):
-                        best = (s, k)
+                    if s >= least and (best is None or (s, -tie(b[0])) > best[0]):
+                        best = ((s, -tie(b[0])), k)
             if not best:
                 break
             k = best[1]
@@ -85,7 +87,23 @@ def test_near_labels(spark, batch):
 def test_agglomeration_prefers_the_most_similar():
     similar = _Similar({("a", "b"): 0.7, ("b", "c"): 0.9, ("a", "c"): 0.2}.get)
     similar.measure = lambda x, y: {frozenset("ab"): 0.7, frozenset("bc"): 0.9, frozenset("ac"): 0.2}[frozenset((x, y))]
-    assert agglomerate([("a",), ("b",), ("c",)], [False, True, True], similar, 0.5) == [0, 1]
+    assert agglomerate([("a",), ("b",), ("c",)], [False, True, True], [0, 1, 2], similar, 0.5) == ([0, 1], [False, False])
+    # c may yet be taken by what is behind, and then b by a
+    assert agglomerate([("a",), ("b",), ("c",)], [False, True, True], [0, 1, 2], similar, 0.5, right=True) == ([0, 1, 2], [False, True, True])
+
+
+def test_labels_that_alternate_on_one_camera(spark):
+    """One stretch over all partitions: the result is that of the loop, twice the same, and few runs wait at the ends."""
+    rng = random.Random(6)
+    for pick in (lambda i: ["smoke", "smoked"][i % 2], lambda i: rng.choice(["smoke", "smoked", "smoking", "smokes"])):
+        rows = [(i, "hot", i // 2, pick(i), 0) for i in range(700)]
+        df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+        want = brute_near(rows, 5, 0.6)
+        for n in (1, 4, 40):
+            assert sorted(map(tuple, run(df, 5, 0.6, n))) == want
+        labels = [(x,) for *_, x, _ in rows]
+        _, waits = agglomerate(labels, [i > 0 for i in range(700)], tie_keys(np.arange(700)).tolist(), _Similar(label_similarity), 0.6, True, True)
+        assert sum(waits) < 40
 
 
 def test_edges(spark):
