@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.session import cut, small
@@ -13,14 +13,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def once(spark: SparkSession, sf_dir: str, name: str, keys: list[str], order: str, *columns: str) -> DataFrame:
-    """The row of each key that is first in ``order``: the keys and ``columns``.
+def once(spark: SparkSession, sf_dir: str, name: str, keys: list[str], order: str, *columns: str, where: Column | None = None) -> DataFrame:
+    """The row of each key that is first in ``order``, of those that ``where`` holds for: the keys and ``columns``.
 
     Only the keys that come more than once are sought out, by their columns alone; of these few the place of the first
     row in the files is kept, and all rows pass a join with them. So wide rows aren't shuffled, as an aggregation of the
     rows themselves would do. NULL is an ordinary value of a key; rows equal in ``order`` are told apart by their place.
     """
-    rows = table(spark, sf_dir, name).select(*keys, order, *columns, F.struct("_metadata.file_path", "_metadata.row_index").alias("__row"))
+    given = table(spark, sf_dir, name)
+    rows = (given if where is None else given.where(where)).select(*keys, order, *columns, F.struct("_metadata.file_path", "_metadata.row_index").alias("__row"))
     slim = rows.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col(order).alias("__order"), F.col("__row").alias("__at"))
     names = [f"__k{i}" for i in range(len(keys))]
     twice = slim.groupBy(*names).agg(F.count("*").alias("n")).where("n > 1").select(*(F.col(k).alias(f"_{k}") for k in names))
