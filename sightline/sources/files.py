@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import re
 import zipfile
 from pathlib import Path
 
@@ -91,6 +92,24 @@ def label_tree(spark: SparkSession, folder: str, splits: tuple[str, ...] = ("tra
     return named.join(texts, ["split", "stem"], "left").select("split", F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "path", F.filter(F.coalesce("lines", F.array().cast("array<string>")), lambda x: x != "").alias("lines"))
 
 
+def listed(spark: SparkSession, folder: str, suffixes: tuple[str, ...], prefix: str = "") -> DataFrame:
+    """The files of a folder and all below it: path, name, and whether the name has the prefix and a suffix (any case).
+
+    Bad names stay in the table, so that a report can name them; take ``good`` to skip them.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
+    name = F.regexp_extract("path", "([^/]*)$", 1)
+    ends = F.lower(name).rlike(rf"\.({'|'.join(s.lower().lstrip('.') for s in suffixes)})$")
+    return files.select("path", name.alias("name"), (ends & F.lower(name).startswith(prefix.lower())).alias("good"))
+
+
+def negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Added negatives: the pictures of a folder and all below it, named by their flattened path: path, name, content."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where(F.lower("path").rlike(r"\.(jpg|jpeg|png)$"))
+    inner = F.regexp_replace(F.col("path"), f"^.*?{re.escape(str(Path(folder)))}/", "")
+    return files.select("path", F.concat(F.lit("neg__"), F.regexp_replace(inner, "/", "__")).alias("name"), "content")
+
+
 def unique_names(df: DataFrame, name: str) -> DataFrame:
     """The names that occur more than once."""
     return df.groupBy(name).agg(F.count("*").alias("n")).where("n > 1")
@@ -98,20 +117,24 @@ def unique_names(df: DataFrame, name: str) -> DataFrame:
 
 @udtf(returnType="name string, content binary")
 class ZipMembers:
-    """The members of an archive's bytes whose path has the given number of parts; all of them for 0."""
+    """The members of an archive's bytes whose path has the given number of parts; all of them for 0.
+
+    Those with the part ``unread`` in their path are named but never read: their content is NULL.
+    """
 
-    def eval(self, content: bytes, parts: int):  # noqa: ANN201
+    def eval(self, content: bytes, parts: int, unread: str):  # noqa: ANN201
         with zipfile.ZipFile(io.BytesIO(content)) as z:
             for info in z.infolist():
-                if not info.is_dir() and (not parts or len(info.filename.split("/")) == parts):
-                    yield info.filename, z.read(info)
+                path = info.filename.split("/")
+                if not info.is_dir() and (not parts or len(path) == parts):
+                    yield info.filename, None if unread and unread in path[:-1] else z.read(info)
 
 
-def zip_members(spark: SparkSession, path: str, parts: int = 0) -> DataFrame:
+def zip_members(spark: SparkSession, path: str, parts: int = 0, unread: str = "") -> DataFrame:
     """The members of archives: archive, name, content. An archive is opened by the task that reads it."""
     spark.udtf.register("sightline_zip_members", ZipMembers)
     spark.read.format("binaryFile").load(path).createOrReplaceTempView("sightline_archives")
-    return spark.sql(f"SELECT a.path AS archive, m.name, m.content FROM sightline_archives a, LATERAL sightline_zip_members(a.content, {int(parts)}) m")
+    return spark.sql(f"SELECT a.path AS archive, m.name, m.content FROM sightline_archives a, LATERAL sightline_zip_members(a.content, {int(parts)}, :unread) m", args={"unread": unread})
 
 
 def pack_zip(folder: str, target: str, forbidden: str) -> int:

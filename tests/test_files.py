@@ -171,3 +171,17 @@ def test_reports_and_sets(tmp_path, spark):
     assert off["channels"] == {"console": {"enabled": False}, "line": {"enabled": False, "to": "x"}} and C.routes(off)[1] == []
     made, errors = C.run_policies(names, {"good": lambda d: d.limit(1), "bad": lambda d: d.select("nothing")})
     assert set(made) == {"good"} and "bad" in errors
+
+
+def test_scans(tmp_path, spark):
+    for name in ("a/x.jpg", "a/b/Y.PNG", "notes.txt", "a/clip_1.mp4"):
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_bytes(b"1")
+    got = {r.name: r.good for r in files.listed(spark, str(tmp_path / "in"), (".mp4",), "clip_").collect()}
+    assert got == {"x.jpg": False, "Y.PNG": False, "notes.txt": False, "clip_1.mp4": True}
+    assert sorted(r.name for r in files.negatives(spark, str(tmp_path / "in")).collect()) == ["neg__a__b__Y.PNG", "neg__a__x.jpg"]
+    with zipfile.ZipFile(tmp_path / "s.zip", "w") as z:
+        for name in ("d/train/images/a.jpg", "d/test/images/b.jpg", "readme"):
+            z.writestr(name, b"7")
+    members = {r.name: r.content for r in files.zip_members(spark, str(tmp_path / "s.zip"), 4, "test").collect()}
+    assert members == {"d/train/images/a.jpg": b"7", "d/test/images/b.jpg": None}
