@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sightline.functions import geometry as G
+from sightline.functions.text import hundredths
 from sightline.functions.pose import MIN_CONFIDENCE, pose_class
 
 FRAME = ["camera_id", "frame_index"]
@@ -54,8 +55,8 @@ def drop_overlapped(df: DataFrame, labels: list[str], others: list[str]) -> Data
     return df.join(blocked, [*same, clash], "left_anti")
 
 
-def zone_hits(df: DataFrame, zones: DataFrame, person: str = "person", min_confidence: float = 0.4, child_ratio: float = 0.75) -> DataFrame:
-    """Each person whose foot is in an active zone of its camera (and who is small enough, where the zone asks for it).
+def in_zones(df: DataFrame, zones: DataFrame, person: str = "person", min_confidence: float = 0.4, child_ratio: float = 0.75) -> DataFrame:
+    """Each person whose foot is in an active zone of its camera, with the ratio of heights and the limit for children.
 
     ``zones``: camera_id, zone, polygon, active, child_filter, child_ratio, calibration; a configuration, joined on the camera.
     """
@@ -64,8 +65,18 @@ def zone_hits(df: DataFrame, zones: DataFrame, person: str = "person", min_confi
     x, y = G.foot(F.col("bbox"), F.col("frame_width"), F.col("frame_height"))
     hits = people.withColumns({"foot_x": x, "foot_y": y}).join(zones, "camera_id")
     hits = hits.where(G.active_at(F.col("ts"), F.col("active")) & G.in_bounds(F.col("foot_x"), F.col("foot_y"), F.col("polygon")) & G.in_polygon(F.col("foot_x"), F.col("foot_y"), F.col("polygon")))
-    hits = hits.withColumn("height_ratio", F.when(F.col("child_filter"), G.height_ratio(F.col("bbox"), F.col("frame_height"), F.col("calibration"))))
-    return hits.where(~F.col("child_filter") | (F.col("height_ratio") < F.coalesce("child_ratio", F.lit(child_ratio))))
+    return hits.withColumns({"height_ratio": F.when(F.col("child_filter"), G.height_ratio(F.col("bbox"), F.col("frame_height"), F.col("calibration"))), "limit": F.coalesce("child_ratio", F.lit(child_ratio))})
+
+
+def zone_hits(df: DataFrame, zones: DataFrame, person: str = "person", min_confidence: float = 0.4, child_ratio: float = 0.75) -> DataFrame:
+    """Those of :func:`in_zones` that are small enough, where the zone asks for it."""
+    return in_zones(df, zones, person, min_confidence, child_ratio).where(~F.col("child_filter") | (F.col("height_ratio") < F.col("limit"))).drop("limit")
+
+
+def zone_tags(df: DataFrame, zones: DataFrame, child_ratio: float = 0.75) -> DataFrame:
+    """What is written beside each measured person in a zone for children: CHILD or adult, and the ratio of heights."""
+    hits = in_zones(df, zones, child_ratio=child_ratio).where("child_filter AND height_ratio IS NOT NULL")
+    return hits.withColumn("tag", F.concat(F.when(F.col("height_ratio") < F.col("limit"), "CHILD ").otherwise("adult "), hundredths(F.col("height_ratio"))))
 
 
 def out_of_area(hits: DataFrame) -> DataFrame:

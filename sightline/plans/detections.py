@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sightline.functions import geometry as G
 from sightline.functions import pose as P
 from sightline.operators.nms import suppress
-from sightline.operators.policies import LabelRule, climbing, drop_overlapped, every_nth, label_match, out_of_area, zone_hits
+from sightline.operators.policies import LabelRule, climbing, drop_overlapped, every_nth, label_match, out_of_area, zone_hits, zone_tags
 from sightline.sources.tables import once, table
 
 RULES = [
@@ -151,9 +151,16 @@ _ANTI_SQL = (
 )
 
 
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detections(spark, sf_dir, "camera_id", "frame_index", "ts", "detector", "det_idx", "label", "confidence", "bbox", "frame_width", "frame_height")
+
+
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = detections(spark, sf_dir, "camera_id", "frame_index", "ts", "detector", "det_idx", "label", "confidence", "bbox", "frame_width", "frame_height")
-    return zone_hits(d, zone_table(spark, sf_dir))
+    return zone_hits(_placed(spark, sf_dir), zone_table(spark, sf_dir))
+
+
+def zone_tags_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zone_tags(_placed(spark, sf_dir), zone_table(spark, sf_dir)).select("det_id", "zone", "tag")
 
 
 def zone_hits_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,6 +277,7 @@ def queries() -> dict:
         "nms_classwise": nms_classwise,
         "overlap_anti": overlap_anti,
         "zone_hits": zone_hits_query,
+        "zone_tags": zone_tags_query,
         "out_of_area": out_of_area_query,
         "pose_class": pose_class_query,
         "climbing": climbing_query,
@@ -285,6 +293,8 @@ def oracle_sql() -> dict:
         "pair_iou_gap": _PAIR_SQL,
         "nms_classwise": _inline_boxes(_NMS_SQL),
         "overlap_anti": _ANTI_SQL,
+        "zone_tags": _HITS_SQL
+        + "SELECT det_id, zone, CASE WHEN height_ratio < coalesce(ratio, 0.75::DOUBLE) THEN 'CHILD ' ELSE 'adult ' END || (floor(height_ratio * 100 + 0.5::DOUBLE)::BIGINT // 100) || '.' || lpad((floor(height_ratio * 100 + 0.5::DOUBLE)::BIGINT % 100)::VARCHAR, 2, '0') AS tag FROM measured WHERE child AND height_ratio IS NOT NULL",
         "zone_hits": _HITS_SQL + "SELECT det_id, zone, foot_x, foot_y, height_ratio FROM hits",
         "out_of_area": _AREA_SQL,
         "pose_class": _POSE_SQL,
