@@ -52,8 +52,9 @@ def cluster(mean: np.ndarray, count: np.ndarray, delta: float = DELTA) -> tuple[
     left, right = cell(total - count + 0.25), cell(total - 0.25)
     crosses = (left != right) & (count > 1)
     at = np.flatnonzero(np.concatenate([[True], (left[1:] != left[:-1]) | crosses[1:] | crosses[:-1]]))
-    size = np.add.reduceat(count, at)
-    return np.add.reduceat(mean * count, at) / size, size
+    size, last = np.add.reduceat(count, at), np.append(at[1:], len(mean)) - 1
+    # rounding must not move a mean out of its members, least of all out of equal ones
+    return np.clip(np.add.reduceat(mean * count, at) / size, mean[at], mean[last]), size
 
 
 def promise(q: float, levels: int, count: np.ndarray, delta: float = DELTA) -> float:
